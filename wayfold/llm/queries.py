@@ -6,10 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfold.llm.common import read_table
+from wayfold.llm.common import crc_mod, read_table
 from wayfold.llm.pieces import count_tokens, encode
 from wayfold.llm.secrets import scan_secrets, secret_digest
+from wayfold.llm.toxicity import learn, score_toxicity
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = learn(docs, read_table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == F.lit(0))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +34,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
         "op7_secrets": op7_secrets,
         "op8_token_counts": op8_token_counts,
         "op10_piece_sampling": op10_piece_sampling,
