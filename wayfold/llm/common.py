@@ -36,10 +36,11 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage; `drop` frees those no longer read."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.made, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}, 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.made)}"
+        self.count += 1
+        path = f"{self.base}/{self.count}-{name}"
         df.write.parquet(path)
         self.made.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import crc_mod, read_table
+from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.pieces import count_tokens, encode
 from wayfold.llm.secrets import scan_secrets, secret_digest
 from wayfold.llm.toxicity import learn, score_toxicity
@@ -28,6 +29,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"))
 
@@ -37,5 +42,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op7_secrets": op7_secrets,
         "op8_token_counts": op8_token_counts,
+        "op9_minhash": op9_minhash,
         "op10_piece_sampling": op10_piece_sampling,
     }
