@@ -32,5 +32,14 @@ SELECT doc_id, CAST(len(list_filter(a, lambda x: x.o = 0)) AS BIGINT) AS n_assig
   sha256({text('base')}) AS base_sha256, {text('a')} AS spans FROM b"""
 
 
+OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secrets": op7_secrets()}
+    return {"op2_cover_tree": OP2, "op7_secrets": op7_secrets()}

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import crc_mod, read_table
+from wayfold.llm.covertree import top_k
 from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.pieces import count_tokens, encode
 from wayfold.llm.secrets import scan_secrets, secret_digest
 from wayfold.llm.toxicity import learn, score_toxicity
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = learn(docs, read_table(spark, sf_dir, "labels"))
@@ -39,6 +44,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_cover_tree": op2_cover_tree,
         "op4_toxicity": op4_toxicity,
         "op7_secrets": op7_secrets,
         "op8_token_counts": op8_token_counts,
