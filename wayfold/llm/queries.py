@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import crc_mod, read_table
 from wayfold.llm.covertree import top_k
+from wayfold.llm.decontamination import benchmark_leaks
 from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.pieces import count_tokens, encode
 from wayfold.llm.secrets import scan_secrets, secret_digest
@@ -26,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == F.lit(0))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_cover_tree": op2_cover_tree,
         "op4_toxicity": op4_toxicity,
+        "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
         "op8_token_counts": op8_token_counts,
         "op9_minhash": op9_minhash,
