@@ -13,7 +13,7 @@ Steps, each on what the one before leaves:
 3. In buckets that hold several components, another star with another leader, the first of its bucket in
    an order by a hash of the id, so that buckets share leaders.
 4. Then all that is left across the components of a bucket is compared: pairs that agree in enough
-   bands on their sets; and components that would make many such pairs with a bucket's largest one as a
+   minhashes on their sets; and components that would make many such pairs with a bucket's largest one as a
    whole, in blocks of documents whose intersections are one matrix product.
 Sets of candidates only are moved; joins are on ids, which Spark may split where one is frequent.
 """
@@ -35,9 +35,9 @@ SIMILARITY = 75  # hundredths
 BAND, TABLES = 2, 10
 #: Stars before all that is left is compared.
 STARS = 2
-#: Bands of all 2 * TABLES in which pairs of step 4 must agree: at similarity 0.75 fewer agree with a
+#: Minhashes of all 40 in which pairs of step 4 must agree: at similarity 0.75 fewer agree with a
 #: probability below 0.0003.
-AGREEING = 4
+AGREEING = 20
 #: Two components whose members in a bucket make so many pairs are compared whole, in blocks.
 MANY_PAIRS, BLOCK = 64, 256
 
@@ -72,33 +72,35 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE_WORDS) -> list[np.ndarr
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """2 * TABLES band keys for each set; the sets must not be empty."""
+def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """2 * TABLES band keys for each set, and 16 bits of each of its minhashes; sets must not be empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), 2 * TABLES), np.uint64)
+    out, low = np.zeros((len(sets), 2 * TABLES), np.uint64), np.zeros((len(sets), len(_A)), np.uint16)
     with np.errstate(over="ignore"):
         for k, (a, b) in enumerate(zip(_A, _B, strict=True)):
-            out[:, k // BAND] = mix(out[:, k // BAND] + np.minimum.reduceat(mix(flat * a + b), starts) + np.uint64(k))
-    return out.view(np.int64)
+            least = np.minimum.reduceat(mix(flat * a + b), starts)
+            low[:, k] = mix(least)
+            out[:, k // BAND] = mix(out[:, k // BAND] + least + np.uint64(k))
+    return out.view(np.int64), low
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) for each row of (doc_id, text)."""
+    """(doc_id, n_shingles, set_key, bands, mins) for each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch):
                 sets = shingle_sets(texts)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                bands = np.zeros((len(sets), 2 * TABLES), np.int64)
+                bands, mins = np.zeros((len(sets), 2 * TABLES), np.int64), np.zeros((len(sets), len(_A)), np.uint16)
                 if full:
-                    bands[full] = band_keys([sets[k] for k in full])
+                    bands[full], mins[full] = band_keys([sets[k] for k in full])
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), 2 * TABLES).cast(pa.list_(pa.int64()))
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([m.tobytes() for m in mins], pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "mins"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, mins binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -163,37 +165,39 @@ def heavy_pairs(rest: DataFrame) -> DataFrame:
 
 
 def across(rest: DataFrame, heavy: DataFrame, firsts: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): pairs of different components in a bucket that agree in enough bands, but for heavy pairs
-    of components. A bucket is worked on in pairs of blocks; members of its largest component are on
-    one side only."""
+    """(a, b): pairs of different components in a bucket that agree in enough minhashes, but for heavy
+    pairs of components. A bucket is worked on in pairs of blocks; members of its largest component are
+    on one side only. Of the buckets that a pair shares, that of the first table reports it."""
     known = heavy.select(F.col("minor").alias("component"), "major", F.lit(True).alias("heavy"))
-    entry = F.struct("doc_id", "n", "component", "bands", "lone").alias("entry")
+    entry = F.struct("doc_id", "n", "component", "bands", "mins", "lone").alias("entry")
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / BLOCK))
-    all_ = rest.join(known, ["component", "major"], "left").withColumn("lone", F.col("heavy").isNull()).join(firsts.select("doc_id", "bands"), "doc_id").select("bucket", "major", F.col("component"), block.alias("block"), entry)
-    side = lambda rows, name: rows.groupBy("bucket", "major", "block").agg(F.collect_list("entry").alias(name)).drop("block")
-    pairs = side(all_, "x").join(side(all_.filter("component <> major"), "y").drop("major"), "bucket")
+    all_ = rest.join(known, ["component", "major"], "left").withColumn("lone", F.col("heavy").isNull()).join(firsts.select("doc_id", "bands", "mins"), "doc_id").select("bucket", "table", "major", "component", block.alias("block"), entry)
+    side = lambda rows, name: rows.groupBy("bucket", "table", "major", "block").agg(F.collect_list("entry").alias(name)).drop("block")
+    pairs = side(all_, "x").join(side(all_.filter("component <> major"), "y").drop("major", "table"), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []
-            for k, major in enumerate(batch.column(0).to_pylist()):
-                (ids, n, kind, bands, _), (other, m, other_kind, other_bands, lone) = (columns_of(batch.column(c)[k].values) for c in (1, 2))
+            for k, (table, major) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)):
+                (ids, n, kind, bands, mins, _), (other, m, other_kind, other_bands, other_mins, lone) = (columns_of(batch.column(c)[k].values) for c in (2, 3))
                 ok = (kind[:, None] != other_kind) & (((kind == major)[:, None] & lone) | ((kind != major)[:, None] & (kind[:, None] < other_kind)))
                 ok &= 100 * np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m)
                 x, y = np.nonzero(ok)
-                agree = (bands[x] == other_bands[y]).sum(1) >= AGREEING
+                same = bands[x] == other_bands[y]
+                agree = (same[:, :TABLES].argmax(1) * TABLES + same[:, TABLES:].argmax(1) == table) & ((mins[x] == other_mins[y]).sum(1) >= AGREEING)
                 found.append(np.stack([np.minimum(ids[x], other[y]), np.maximum(ids[x], other[y])])[:, agree])
             a, b = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.select("major", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("table", "major", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def columns_of(entries: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """doc_id, n, component, bands, lone of a list of entries."""
+    """doc_id, n, component, bands, mins, lone of a list of entries."""
     plain = [entries.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "component", "lone")]
     bands = entries.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)
-    return *plain[:3], bands, plain[3]
+    mins = np.frombuffer(b"".join(entries.field("mins").to_pylist()), np.uint16).reshape(len(entries), -1)
+    return *plain[:3], bands, mins, plain[3]
 
 
 def between(heavy: DataFrame, found: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -258,10 +262,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     shared = classes.filter("copies > 1").select("set_key", "first")
     heads = classes.select(F.col("first").alias("doc_id"), "set_key")
-    firsts = scratch.write(some.join(heads, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select("doc_id", F.col("n_shingles").alias("n"), "bands"), "firsts")
+    firsts = scratch.write(some.join(heads, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select("doc_id", F.col("n_shingles").alias("n"), "bands", "mins"), "firsts")
 
     pair = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(TABLES)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(TABLES)), lambda j: F.xxhash64(i, j, F.element_at("bands", i), F.element_at("bands", j + TABLES)))))
-    entries = firsts.select("doc_id", "n", F.explode(pair).alias("bucket"))
+    entries = firsts.select("doc_id", "n", F.posexplode(pair).alias("table", "bucket"))
     full = entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
     members = scratch.write(entries.join(full, "bucket"), "members")
     rest = members.withColumn("component", F.col("doc_id"))  # later: what buckets hold besides components
@@ -281,7 +285,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if turn == 0 or not new.isEmpty():
             found = components(links, scratch)
         if turn < STARS:
-            labelled = members.join(found, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+            labelled = members.join(found, "doc_id", "left").select("bucket", "table", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
             sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
             open_ = sizes.groupBy("bucket").agg(F.max_by("component", "size").alias("major"), F.max("size").alias("size_major"), F.sum("size").alias("total"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
             rest = scratch.write(labelled.join(sizes.join(open_, "bucket"), ["bucket", "component"]), "rest")
