@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import Scratch
 
 PIVOTS = 16
-BLOCK = 4096
+BLOCK = 1024
 LEAF = 64
 #: Each level's covering radius is at most the one above it divided by this.
 BASE = 1.3
@@ -40,7 +40,13 @@ class CoverTree:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         x = vectors.astype(np.float64)
-        todo = [(np.arange(len(ids)), np.sqrt(((x - x[0]) ** 2).sum(1)))]
+        square = (x**2).sum(1)
+        apart = np.sqrt(np.maximum(square[:, None] + square - 2 * (x @ x.T), 0)) if len(x) <= 4 * BLOCK else None
+
+        def distances(k: int, rows: np.ndarray) -> np.ndarray:
+            return apart[k, rows] if apart is not None else np.sqrt(((x[rows] - x[k]) ** 2).sum(1))
+
+        todo = [(np.arange(len(ids)), distances(0, np.arange(len(ids))))]
         kept, centre, radius, first, end, points = [], [], [], [], [], []
         at = 0
         while at < len(todo):  # todo grows as nodes are split; its order is the nodes' order
@@ -50,7 +56,7 @@ class CoverTree:
             radius.append(float(distance.max()))
             first.append(len(todo))
             if len(rows) > LEAF and radius[-1] > 0:
-                todo.extend(self.split(x, rows, distance, radius[-1] / BASE))
+                todo.extend(self.split(distances, rows, distance, radius[-1] / BASE))
             end.append(len(todo))
             points.append(rows if first[-1] == end[-1] else None)
         n = len(centre)
@@ -67,7 +73,7 @@ class CoverTree:
         self.centre, self.radius = x[centre].astype(vectors.dtype), np.array(radius)
 
     @staticmethod
-    def split(x: np.ndarray, rows: np.ndarray, distance: np.ndarray, reach: float) -> list:
+    def split(distances, rows: np.ndarray, distance: np.ndarray, reach: float) -> list:
         """Children: centres farther than `reach` apart, each with the points that no earlier one covers."""
         out = []
         while len(rows):
@@ -75,7 +81,7 @@ class CoverTree:
             out.append((rows[near], distance[near]))
             rows = rows[~near]
             if len(rows):
-                distance = np.sqrt(((x[rows] - x[rows[0]]) ** 2).sum(1))
+                distance = distances(rows[0], rows)
         return out
 
 
