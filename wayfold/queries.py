@@ -5,15 +5,160 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.functions import exprs as E
+from wayfold.operators import anchors, cells, clean, presence, score, trips
+from wayfold.plans import pipeline
+from wayfold.sources import photos as source
+
+KEY = ("couple_id", "geohash", "hour_index")
+COMPASS = ("couple_id", "person", "asset_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Clean, bucket, match blind, sessionize, and count both partners' photos in each session's window."""
+    photos = pipeline.cleaned(spark, sf_dir)
+    keys = trips.sessionize(presence.matched_keys(photos, cells.TEST_SALT))
+    spans = keys.groupBy("couple_id", "session").agg(F.min("hour_index").alias("first_hour"), F.max("hour_index").alias("last_hour"), F.count("*").alias("keys"))
+    spans = trips.windows(spans.withColumns({"head": F.lit(0), "tail": F.lit(0)}))
+    return trips.backfill(spans, photos).select("couple_id", "session", "start_utc", "end_utc", "keys", "photo_count_a", "photo_count_b")
+
+
+def _anchored(photos: DataFrame) -> DataFrame:
+    """Placed photos beside their couple's anchors."""
+    pairs = anchors.couples(anchors.infer_anchors(photos))
+    return photos.filter("lat IS NOT NULL AND lon IS NOT NULL").join(pairs, "couple_id")
+
+
+def _is_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _anchored(pipeline.cleaned(spark, sf_dir))
+    bits = anchors.with_distances(at, "lat", "lon").withColumns({f"in_{p}": F.col(f"km_{p}") <= 5.0 for p in "ab"})
+    return bits.select(*COMPASS, "in_a", "in_b", "shared_home", F.expr(E.away("in_a", "in_b", "shared_home")).alias("away"))
+
+
+def _to_km(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = E.plane("lat", "lon", "37.76e0", "-122.44e0")
+    return source.photos(spark, sf_dir).filter("lat IS NOT NULL").select(*COMPASS, F.round(F.expr(x), 6).alias("east_km"), F.round(F.expr(y), 6).alias("north_km"))
+
+
+def _local_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.photos(spark, sf_dir).select(*COMPASS, F.expr(E.hour_index()).alias("hour_index"), F.expr(E.LOCAL_HOUR).alias("local_hour"), F.expr(E.LOCAL_DAY).alias("local_day"), F.expr(E.weekday(E.LOCAL_DAY)).alias("weekday"))
+
+
+def _infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.infer_anchors(pipeline.cleaned(spark, sf_dir)).select("couple_id", "person", "home_geohash7", "work_geohash7", "home_days", "work_days", "weak")
+
+
+def _matched(spark: SparkSession, sf_dir: str, person: str) -> DataFrame:
+    photos = pipeline.cleaned(spark, sf_dir)
+    keys = presence.matched_keys(photos, cells.TEST_SALT)
+    return presence.matched_photos(photos.filter(F.col("person") == person), keys, person == "a")
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = source.photos(spark, sf_dir)
+    points = [r.asDict() for r in score.grid(spark).collect()]
+    return pipeline.sweep(clean.clean(raw), source.labels(raw), [p for p in points if p["point"] in (0, 7)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    raw, tidy = source.photos, pipeline.cleaned
+    return {
+        "flagship": flagship,
+        "ingest_summary": lambda s, d: clean.ingest_summary(raw(s, d)),
+        "drop_screenshots": lambda s, d: clean.drop_screenshots(raw(s, d)).select(*COMPASS),
+        "drop_missing_timestamp": lambda s, d: clean.drop_missing_timestamp(raw(s, d)).select(*COMPASS),
+        "collapse_bursts": lambda s, d: clean.collapse_bursts(raw(s, d)).select(*COMPASS),
+        "filter_stats": lambda s, d: clean.filter_stats(raw(s, d)),
+        **{f"bucket_keys_p{p}": lambda s, d, p=p: cells.own_keys(tidy(s, d), False, p).select(*KEY) for p in (5, 6, 7)},
+        "expand_keys": lambda s, d: cells.own_keys(tidy(s, d).filter("person = 'a'"), True).select(*KEY),
+        "salted_hashes": lambda s, d: cells.salted(cells.own_keys(tidy(s, d), False)).select("couple_id", "hash"),
+        "matched_keys": lambda s, d: presence.matched_keys(tidy(s, d), cells.TEST_SALT).select(*KEY),
+        "matched_photos_a": lambda s, d: _matched(s, d, "a"),
+        "matched_photos_b": lambda s, d: _matched(s, d, "b"),
+        "to_km": _to_km,
+        "local_time": _local_time,
+        "infer_anchors": _infer,
+        "is_away": _is_away,
+        "sessionize": lambda s, d: trips.sessionize(presence.matched_keys(tidy(s, d), cells.TEST_SALT)).select(*KEY, "session"),
+        "coverage": lambda s, d: score.coverage(tidy(s, d)),
+        "coverage_by_year": lambda s, d: score.coverage_by_year(tidy(s, d)),
+        "in_labels": lambda s, d: score.in_labels(tidy(s, d), source.labels(raw(s, d))).select(*COMPASS),
+        "grid": lambda s, d: score.grid(s),
+        "trips": lambda s, d: pipeline.trips_of(tidy(s, d)),
+        "evaluate": lambda s, d: score.evaluate(pipeline.trips_of(tidy(s, d)).cache(), source.labels(raw(s, d))),
+        "sweep": _sweep,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    view = source.photo_view(source.DUCKDB_EPOCH)
+    tidy = """tidy AS (SELECT * EXCLUDE (r) FROM (SELECT *, CASE WHEN burst_id IS NULL THEN 1 ELSE row_number() OVER
+  (PARTITION BY couple_id, person, burst_id ORDER BY is_burst_pick DESC, utc_epoch, asset_id) END AS r FROM photos
+  WHERE NOT is_screenshot AND utc_epoch IS NOT NULL) WHERE r = 1)"""
+    compass, start = ", ".join(COMPASS), f"WITH {view}, {tidy}"
+
+    def keyed(p: int) -> str:
+        x, y = E.cell("lat", "lon", p)
+        return f"""placed AS (SELECT *, {x} AS x, {y} AS y, {E.hour_index()} AS hour_index FROM tidy WHERE lat IS NOT NULL AND lon IS NOT NULL),
+own AS (SELECT DISTINCT couple_id, person, x, y, hour_index, {E.geohash_of_cell('x', 'y', p)} AS geohash FROM placed)"""
+
+    nx, ny = E.bits(6)
+    wide = f"""wide AS (SELECT DISTINCT couple_id, person, {E.pmod('x + dx', str(2**nx))} AS x, y + dy AS y, hour_index + dh AS hour_index FROM own,
+  (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), (VALUES (-1), (0), (1)) k(dh) WHERE y + dy BETWEEN 0 AND {2**ny - 1}),
+wide_a AS (SELECT couple_id, x, y, hour_index, {E.geohash_of_cell('x', 'y', 6)} AS geohash FROM wide WHERE person = 'a'),
+both_ AS (SELECT a.* FROM wide_a a WHERE EXISTS (SELECT 1 FROM own b WHERE b.person = 'b' AND b.couple_id = a.couple_id AND b.x = a.x AND b.y = a.y AND b.hour_index = a.hour_index))"""
+    sessions = """marked AS (SELECT *, CASE WHEN hour_index - lag(hour_index) OVER (PARTITION BY couple_id ORDER BY hour_index, geohash) > 6 THEN 1 ELSE 0 END AS fresh FROM both_),
+sess AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY couple_id ORDER BY hour_index, geohash) AS BIGINT) AS session FROM marked)"""
+    vx, vy = E.cell("lat", "lon", 7)
+    votes = f"""voting AS (SELECT t.*, {E.LOCAL_HOUR} AS lh2, {E.LOCAL_DAY} AS ld2, {vx} AS vx, {vy} AS vy FROM tidy t
+  JOIN (SELECT couple_id, person, max(utc_epoch) AS now FROM tidy GROUP BY ALL) n USING (couple_id, person)
+  WHERE lat IS NOT NULL AND lon IS NOT NULL AND tz_offset_s IS NOT NULL AND utc_epoch BETWEEN now - 7776000 AND now),
+cells_ AS (SELECT couple_id, person, k, vx, vy, {E.geohash_of_cell('vx', 'vy', 7)} AS gh, count(DISTINCT ld2) AS days, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon
+  FROM (SELECT *, 'home' AS k FROM voting WHERE {E.among('lh2', E.NIGHT_HOURS)} UNION ALL SELECT *, 'work' FROM voting WHERE {E.among('lh2', E.WORK_HOURS)} AND {E.weekday('ld2')} < 5) GROUP BY ALL),
+won AS (SELECT * FROM cells_ QUALIFY row_number() OVER (PARTITION BY couple_id, person, k ORDER BY days DESC, n DESC, gh) = 1),
+anchor AS (SELECT h.couple_id, h.person, h.gh AS home_gh, h.lat AS home_lat, h.lon AS home_lon, h.days AS home_days, w.gh AS work_gh, w.lat AS work_lat, w.lon AS work_lon, coalesce(w.days, 0) AS work_days
+  FROM won h LEFT JOIN won w ON w.couple_id = h.couple_id AND w.person = h.person AND w.k = 'work' WHERE h.k = 'home')"""
+    pair = "pair AS (SELECT a.couple_id, " + ", ".join(f"{p}.{k}_{c} AS {p}_{k}_{c}" for p in "ab" for k in ("home", "work") for c in ("lat", "lon")) + " FROM anchor a JOIN anchor b ON a.couple_id = b.couple_id AND a.person = 'a' AND b.person = 'b')"
+    near = E.distance("b_home_lat", "b_home_lon", "a_home_lat", "a_home_lon")
+    x, y = E.plane("lat", "lon", "37.76e0", "-122.44e0")
+    days = "label_days AS (SELECT DISTINCT couple_id, ld AS day FROM photos WHERE ph < 3), spans AS (SELECT couple_id, min(day) AS lo, max(day) AS hi FROM (SELECT couple_id, ld AS day, ld - ph AS block FROM photos WHERE ph < 3) GROUP BY couple_id, block)"
+    gps = "lat IS NOT NULL AND lon IS NOT NULL"
+    grid = []
+    for p in [score.DEFAULTS, *({**score.DEFAULTS, k: v} for k, vs in score.AXES.items() for v in vs), *({**score.DEFAULTS, "city_km": c, "max_silence_hours": m} for c in score.AXES["city_km"] for m in score.AXES["max_silence_hours"])]:
+        if p not in grid:
+            grid.append(p)
+    points = ", ".join(f"({k}, {', '.join(f'{v}e0' if isinstance(v, float) else str(v) for v in p.values())})" for k, p in enumerate(grid))
+    return {
+        "flagship": f"""{start}, {keyed(6)}, {wide}, {sessions},
+w AS (SELECT couple_id, session, (min(hour_index) - 3) * 3600 AS start_utc, (max(hour_index) + 4) * 3600 AS end_utc, count(*) AS keys FROM sess GROUP BY couple_id, session)
+SELECT w.couple_id, session, start_utc, end_utc, keys, count(CASE WHEN p.person = 'a' THEN 1 END) AS photo_count_a, count(CASE WHEN p.person = 'b' THEN 1 END) AS photo_count_b
+FROM w LEFT JOIN tidy p ON p.couple_id = w.couple_id AND p.utc_epoch >= start_utc AND p.utc_epoch < end_utc GROUP BY ALL""",
+        "ingest_summary": f"WITH {view} SELECT couple_id, person, count(*) AS n, min(utc_epoch) AS first_utc, max(utc_epoch) AS last_utc, count(*) - count(utc_epoch) AS no_time, count(*) FILTER (lat IS NULL OR lon IS NULL) AS no_gps FROM photos GROUP BY ALL",
+        "drop_screenshots": f"WITH {view} SELECT {compass} FROM photos WHERE NOT is_screenshot",
+        "drop_missing_timestamp": f"WITH {view} SELECT {compass} FROM photos WHERE utc_epoch IS NOT NULL",
+        "collapse_bursts": f"WITH {view} SELECT {compass} FROM photos QUALIFY burst_id IS NULL OR row_number() OVER (PARTITION BY couple_id, person, burst_id ORDER BY is_burst_pick DESC, utc_epoch NULLS LAST, asset_id) = 1",
+        "filter_stats": f"""{start} SELECT 'screenshots' AS rule, count(*) FILTER (is_screenshot) AS dropped FROM photos
+UNION ALL SELECT 'missing_timestamp', count(*) FILTER (NOT is_screenshot AND utc_epoch IS NULL) FROM photos
+UNION ALL SELECT 'bursts', (SELECT count(*) FROM photos WHERE NOT is_screenshot AND utc_epoch IS NOT NULL) - (SELECT count(*) FROM tidy)""",
+        **{f"bucket_keys_p{p}": f"{start}, {keyed(p)} SELECT DISTINCT couple_id, geohash, hour_index FROM own" for p in (5, 6, 7)},
+        "expand_keys": f"{start}, {keyed(6)}, {wide} SELECT couple_id, geohash, hour_index FROM wide_a",
+        "salted_hashes": f"""{start}, {keyed(6)}, u AS (SELECT DISTINCT couple_id, geohash, hour_index FROM own)
+SELECT couple_id, {E.keyed_hash("concat(geohash, '|', CAST(hour_index AS STRING))", cells.TEST_SALT, 'duckdb')} AS hash FROM u""",
+        "matched_keys": f"{start}, {keyed(6)}, {wide} SELECT couple_id, geohash, hour_index FROM both_",
+        "matched_photos_a": f"""{start}, {keyed(6)}, {wide} SELECT {compass} FROM placed p WHERE person = 'a' AND EXISTS (SELECT 1 FROM both_ k WHERE k.couple_id = p.couple_id
+  AND abs(k.hour_index - p.hour_index) <= 1 AND abs(k.y - p.y) <= 1 AND {E.pmod('k.x - p.x + 1', str(2**nx))} <= 2)""",
+        "matched_photos_b": f"{start}, {keyed(6)}, {wide} SELECT {compass} FROM placed p WHERE person = 'b' AND EXISTS (SELECT 1 FROM both_ k WHERE k.couple_id = p.couple_id AND k.hour_index = p.hour_index AND k.x = p.x AND k.y = p.y)",
+        "to_km": f"WITH {view} SELECT {compass}, round({x}, 6) AS east_km, round({y}, 6) AS north_km FROM photos WHERE lat IS NOT NULL",
+        "local_time": f"WITH {view} SELECT {compass}, {E.hour_index()} AS hour_index, {E.LOCAL_HOUR} AS local_hour, {E.LOCAL_DAY} AS local_day, {E.weekday(E.LOCAL_DAY)} AS weekday FROM photos",
+        "infer_anchors": f"{start}, {votes} SELECT couple_id, person, home_gh AS home_geohash7, work_gh AS work_geohash7, home_days, work_days, home_days < 5 OR work_days < 5 AS weak FROM anchor",
+        "is_away": f"""{start}, {votes}, {pair}, bits AS (SELECT p.couple_id, p.person, p.asset_id, {anchors.inside('lat', 'lon', 'a', '5e0')} AS in_a, {anchors.inside('lat', 'lon', 'b', '5e0')} AS in_b, {near} < 1e0 AS shared_home
+  FROM tidy p JOIN pair USING (couple_id) WHERE lat IS NOT NULL AND lon IS NOT NULL) SELECT *, {E.away('in_a', 'in_b', 'shared_home')} AS away FROM bits""",
+        "sessionize": f"{start}, {keyed(6)}, {wide}, {sessions} SELECT couple_id, geohash, hour_index, session FROM sess",
+        "coverage": f"""{start} SELECT count(*) AS total, count(*) FILTER ({gps}) AS with_gps, count(camera_make) AS camera_total, count(*) FILTER (camera_make IS NOT NULL AND {gps}) AS camera_gps,
+  count(*) - count(camera_make) AS imported_total, count(*) FILTER (camera_make IS NULL AND {gps}) AS imported_gps FROM tidy""",
+        "coverage_by_year": f"{start} SELECT CAST(year(make_timestamp(utc_epoch * 1000000)) AS INTEGER) AS year, count(*) AS total, count(*) FILTER ({gps}) AS with_gps FROM tidy GROUP BY ALL",
+        "in_labels": f"{start}, {days} SELECT {compass} FROM tidy t WHERE EXISTS (SELECT 1 FROM spans s WHERE s.couple_id = t.couple_id AND t.utc_epoch >= s.lo * 86400 AND t.utc_epoch < (s.hi + 1) * 86400)",
+        "grid": f"SELECT CAST(a AS INTEGER) AS point, CAST(b AS INTEGER) AS gap_hours, CAST(c AS INTEGER) AS geohash_precision, CAST(d AS INTEGER) AS min_photos, CAST(e AS DOUBLE) AS city_km, CAST(f AS INTEGER) AS max_silence_hours, CAST(g AS INTEGER) AS tail_gap_hours FROM (VALUES {points}) t(a, b, c, d, e, f, g)",
+    }
