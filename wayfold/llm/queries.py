@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import crc_mod, read_table
 from wayfold.llm.covertree import top_k
 from wayfold.llm.decontamination import benchmark_leaks
+from wayfold.llm.licenses import scan_licenses
 from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.pieces import count_tokens, encode
 from wayfold.llm.secrets import scan_secrets, secret_digest
 from wayfold.llm.toxicity import learn, score_toxicity
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +54,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_cover_tree": op2_cover_tree,
         "op4_toxicity": op4_toxicity,
         "op6_decontamination": op6_decontamination,
