@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import crc_mod, read_table
 from wayfold.llm.covertree import top_k
 from wayfold.llm.decontamination import benchmark_leaks
+from wayfold.llm.languagemodel import score_texts
 from wayfold.llm.licenses import scan_licenses
 from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.pieces import count_tokens, encode
@@ -26,6 +27,10 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = learn(docs, read_table(spark, sf_dir, "labels"))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
         "op2_cover_tree": op2_cover_tree,
+        "op3_language_model": op3_language_model,
         "op4_toxicity": op4_toxicity,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
