@@ -16,6 +16,7 @@ from wayfold.llm.licenses import scan_licenses
 from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.pieces import count_tokens, encode
 from wayfold.llm.secrets import scan_secrets, secret_digest
+from wayfold.llm.suffixes import remove_repeats
 from wayfold.llm.toxicity import learn, score_toxicity
 
 
@@ -37,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == F.lit(0))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_cover_tree": op2_cover_tree,
         "op3_language_model": op3_language_model,
         "op4_toxicity": op4_toxicity,
+        "op5_suffix_array": op5_suffix_array,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
         "op8_token_counts": op8_token_counts,
