@@ -25,7 +25,8 @@ from wayfold.llm.common import Scratch
 
 PIVOTS = 16
 BLOCK = 1024
-LEAF = 64
+#: Points of a leaf, of the data's trees and of the queries'.
+LEAF, QUERY_LEAF = 64, 192
 #: Each level's covering radius is at most the one above it divided by this.
 BASE = 1.3
 #: The summaries of query blocks are copied so often, those of data blocks dealt among the copies.
@@ -34,9 +35,9 @@ SALTS = 16
 
 class CoverTree:
     """Nodes in breadth-first order: centre, covering radius, children (first, end) and points (first, end)
-    in the tree's own order of the vectors. A leaf has at most LEAF points, or equal ones."""
+    in the tree's own order of the vectors. A leaf has at most `leaf` points, or equal ones."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         x = vectors.astype(np.float64)
@@ -55,7 +56,7 @@ class CoverTree:
             centre.append(rows[0])
             radius.append(float(distance.max()))
             first.append(len(todo))
-            if len(rows) > LEAF and radius[-1] > 0:
+            if len(rows) > leaf and radius[-1] > 0:
                 todo.extend(self.split(distances, rows, distance, radius[-1] / BASE))
             end.append(len(todo))
             points.append(rows if first[-1] == end[-1] else None)
@@ -180,13 +181,13 @@ def packed(entries: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     return ids, v.astype(np.int8 if top < 128 else np.int16 if top < 32768 else np.int64)
 
 
-def trees(blocks: DataFrame) -> DataFrame:
+def trees(blocks: DataFrame, leaf: int) -> DataFrame:
     """(dim, cell, block, tree, centre, radius) of each block of vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                t = CoverTree(*packed(batch.column(3)[k].values))
+                t = CoverTree(*packed(batch.column(3)[k].values), leaf)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in range(3)], pa.array([pickle.dumps(t)], pa.binary()), pa.array([t.centre[0].astype(float).tolist()]), pa.array([float(t.radius[0])])], ["dim", "cell", "block", "tree", "centre", "radius"])
 
     return blocks.mapInArrow(run, "dim int, cell int, block long, tree binary, centre array<double>, radius double")
@@ -200,7 +201,7 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 q, d = (pickle.loads(batch.column(c)[r].as_buffer()) for c in (0, 2))
-                known = dict(batch.column(1)[r].as_py() or [])
+                known = {x["i"]: x["s"] for x in batch.column(1)[r].as_py() or []}
                 found = search(q, d, k, np.array([known.get(i, -np.inf) for i in q.ids.tolist()], float))
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].astype(np.int64))], ["query_id", "vec_id", "score"])
 
@@ -240,13 +241,13 @@ def top_k(df: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col:
 
     dealt = scratch.write(vectors.mapInArrow(celled, "vec_id long, v array<long>, dim int, cell int"), "dealt")
 
-    def blocks(rows: DataFrame) -> DataFrame:
+    def blocks(rows: DataFrame, leaf: int) -> DataFrame:
         of = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        return trees(rows.join(of, ["dim", "cell"]).groupBy("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("entries")))
+        return trees(rows.join(of, ["dim", "cell"]).groupBy("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("entries")), leaf)
 
     name = lambda t, p: t.select(*[F.col(c).alias(f"{p}_{c}") for c in t.columns])
-    d = name(scratch.write(blocks(dealt), "data"), "d")
-    q = name(scratch.write(blocks(dealt.filter(F.col("vec_id") % every == 0)), "queries"), "q")
+    d = name(scratch.write(blocks(dealt, LEAF), "data"), "d")
+    q = name(scratch.write(blocks(dealt.filter(F.col("vec_id") % every == 0), QUERY_LEAF), "queries"), "q")
     own = q.join(d, (F.col("q_dim") == F.col("d_dim")) & (F.col("q_cell") == F.col("d_cell"))).withColumn("least", F.lit(None).cast("array<struct<i:bigint,s:bigint>>"))
     near = scratch.write(searched(own, k), "near")
     kth = ranked(near, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
