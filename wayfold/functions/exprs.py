@@ -53,17 +53,25 @@ def cell(lat: str, lon: str, precision: int) -> tuple[str, str]:
     return x, y
 
 
+def _woven(three: int, two: int) -> str:
+    """The character of five bits, three of one number and two of the other in turn."""
+    bits_ = (three >> 2 & 1, two >> 1 & 1, three >> 1 & 1, two & 1, three & 1)
+    return ALPHABET[int("".join(map(str, bits_)), 2)]
+
+
+#: The alphabet by three bits of the number that begins a character, then two bits of the other.
+_WOVEN = "".join(_woven(three, two) for three in range(8) for two in range(4))
+
+
 def geohash_of_cell(x: str, y: str, precision: int) -> str:
-    """The characters: five bits each, of column and row in turn, high bits first."""
-    nx, ny = bits(precision)
-    chars = []
+    """The characters: five bits each, of column and row in turn, high bits first. A character takes three
+    bits of one and two of the other, and finds them in a table woven for that."""
+    left = dict(zip("xy", bits(precision), strict=True))
+    names, chars = {"x": x, "y": y}, []
     for c in range(precision):
-        parts = []
-        for b in range(5):
-            k = 5 * c + b
-            source, at = (x, nx - 1 - k // 2) if k % 2 == 0 else (y, ny - 1 - k // 2)
-            parts.append(f"((({source}) >> {at}) & 1) * {16 >> b}")
-        chars.append(f"substr('{ALPHABET}', CAST({' + '.join(parts)} + 1 AS INT), 1)")
+        first, other = ("x", "y") if c % 2 == 0 else ("y", "x")
+        left[first], left[other] = left[first] - 3, left[other] - 2
+        chars.append(f"substr('{_WOVEN}', CAST((({names[first]} >> {left[first]}) & 7) * 4 + (({names[other]} >> {left[other]}) & 3) + 1 AS INT), 1)")
     return f"concat({', '.join(chars)})"
 
 
