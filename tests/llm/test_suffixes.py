@@ -34,6 +34,7 @@ def test_against_brute_force(spark):
                 parts.insert(rng.randint(0, len(parts)), s[rng.randint(0, 3) :])
         rows.append((i, "".join(parts)))
     rows += [(70, "a" * 500), (71, "ab" * 300), (72, rows[5][1]), (73, rows[5][1]), (74, None), (75, ""), (76, "x" * 99), (77, "x" * 99), (78, text(130) * 3), (2000, rows[9][1] + "!")]
+    rows += [(80 + n, text(40) + (text(9) * 30)[: 100 + n] + text(40)) for n in (5, 12, 40, 66, 72, 90)]
     rng.shuffle(rows)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, pos int")).collect()}
     want = brute(rows)

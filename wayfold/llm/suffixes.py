@@ -60,11 +60,20 @@ def least(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(out[:n], out[span - size : span - size + n]) if n > 0 else h[:0]
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least hashes of all windows, as runs of equal ones: values, first positions, ends."""
-    m = least(rolled(np.frombuffer(text, np.uint8), GRAM), SPAN)
+def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least hashes of all windows, as runs of equal ones: values, first positions, ends, and whether a
+    run's windows have the value at more than one place, as in periodic text."""
+    h = rolled(np.frombuffer(text, np.uint8), GRAM)
+    m = least(h, SPAN)
     first = np.nonzero(np.concatenate((np.ones(min(len(m), 1), bool), m[1:] != m[:-1])))[0]
-    return m[first].view(np.int64), first, np.append(first[1:], len(m))
+    end = np.append(first[1:], len(m))[: len(first)]
+    several = np.zeros(len(first), bool)
+    for a in range(0, len(first), 4096):
+        v, lo, hi = m[first[a : a + 4096], None], first[a : a + 4096], end[a : a + 4096] - 1
+        left = lo + (h[lo[:, None] + np.arange(SPAN)] == v).argmax(1)
+        right = hi + SPAN - 1 - (h[hi[:, None] + np.arange(SPAN - 1, -1, -1)] == v).argmax(1)
+        several[a : a + 4096] = left != right
+    return m[first].view(np.int64), first, end, several
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,13 +91,13 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(doc, hash, least) of each run of windows; a run too long for one string counts twice."""
+    """(doc, hash, least) of each run of windows; a run with its value at several places counts twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch):
                 found = [(*runs(t), k) for k, t in enumerate(texts)]
-                value = [np.concatenate((v, v[end - first > SPAN])) for v, first, end, _ in found]
+                value = [np.concatenate((v, v[several])) for v, _, _, several, _ in found]
                 at = pa.array(np.repeat([k for *_, k in found], [len(v) for v in value]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(np.concatenate(value).astype(np.int64))], ["doc", "hash", "least"])
 
@@ -104,7 +113,7 @@ def positions(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, texts in slices(batch):
                 for k, text in enumerate(texts):
-                    value, first, end = runs(text)
+                    value, first, end, _ = runs(text)
                     hit = np.isin(value, rows.column(3)[k].values.to_numpy())
                     mark = np.zeros(len(text) + 1, np.int32)
                     np.add.at(mark, first[hit], 1)
