@@ -85,3 +85,31 @@ def test_draws_agree():
     seeds = np.array([row_seed(5, i) for i in range(50)], np.uint64)
     many = mixed(seeds, np.arange(50), np.arange(50) + 3)
     assert many.tolist() == [mixed_one(int(s), i, i + 3) for i, s in enumerate(seeds)]
+
+
+def test_samples_of_long_segments_follow_the_lattice():
+    import random
+
+    single = engines(PIECE_MODEL, "rank", 1.0)[1]
+    rng = random.Random(3)
+    for segment in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)), "there" * 40, "ab" * 150):
+        n = len(segment)
+        ends = [[] for _ in range(n + 1)]
+        for end, (length, score, i) in single.find(segment):
+            ends[end + 1].append((length, score, i))
+        log = [0.0] + [-math.inf] * n
+        for e in range(1, n + 1):
+            terms = [log[e - k] + s for k, s, _ in ends[e]]
+            log[e] = max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+        for turn in range(200):
+            u = [random.Random(turn * 1000 + e).random() for e in range(n + 1)]
+            want, e = [], n
+            while e:
+                left = u[e]
+                for k, s, i in ends[e]:
+                    left -= math.exp(log[e - k] + s - log[e])
+                    if left < 0:
+                        break
+                want.append(i)
+                e -= k
+            assert single.sample(segment, lambda e, u=u: u[e]) == want[::-1]

@@ -129,19 +129,21 @@ class Single:
             ends[end + 1].append((length, math.exp(self.alpha * (score - self.unknown * length)), [i]))
         forward = [0.0] * (n + 1)
         forward[0] = 1.0
+        shares: list[list[float]] = [[]] * (n + 1)  # of an end's pieces, kept from when all were of one scale
         for e in range(1, n + 1):
             if segment[e - 1] not in self.singles:
                 ends[e].append((1, 1.0, self.bytes_of(segment[e - 1])))
-            forward[e] = sum([forward[e - m[0]] * m[1] for m in ends[e]])
+            shares[e] = [forward[e - m[0]] * m[1] for m in ends[e]]
+            forward[e] = sum(shares[e])
             if not 1e-100 < forward[e] < 1e100:  # paths compare as before if all that can still count is scaled
                 for k in range(max(0, e - self.longest), e):
                     forward[k] /= forward[e]
                 forward[e] = 1.0
         drawn, e = [], n
         while e:
-            left = draw(e) * sum([forward[e - m[0]] * m[1] for m in ends[e]])
-            for m in ends[e]:
-                left -= forward[e - m[0]] * m[1]
+            left = draw(e) * sum(shares[e])
+            for m, share in zip(ends[e], shares[e], strict=True):
+                left -= share
                 if left < 0:
                     break
             drawn.append(m[2])
