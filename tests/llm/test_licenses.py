@@ -23,3 +23,16 @@ def test_planted_notices_and_edges(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wrapped_notices_and_several_licences(spark):
+    rows = [
+        (0, "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published", "gpl"),
+        (1, " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that", "bsd"),
+        (2, "// This Source Code Form is subject to the terms of the Mozilla\n// Public License, v. 2.0. If a copy", "mpl"),
+        (3, "Licensed under the MIT License or the Apache License, Version 2.0, at your option", "apache,mit"),
+        (4, "Released under the\n\nbest of terms, the license of which is unknown", ""),
+        (5, "Licensed under the GNU Lesser General Public License, version 2.1", "lgpl"),
+    ]
+    got = {r.doc_id: r.families for r in scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {k: f for k, _, f in rows}

@@ -5,7 +5,9 @@ names a paragraph's licence family, or none. It is trained in numpy on varied co
 and, for the unknown class, on a bounded sample of the corpus's own paragraphs (`SAMPLE_DOCUMENTS`, the
 first by a hash of the id). A temperature fitted on held-back rows calibrates the probabilities, so that
 the unknown class keeps what is unsure. A prediction counts if the paragraph also holds enough of one of
-the family's templates, in order.
+the family's templates, in order. Whatever is predicted, the templates of every family are also compared
+where a stretch of text, across line ends, holds enough of their words: notices are wrapped, and a paragraph
+may name several licences.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ TEMPLATES = {
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 #: Longer paragraphs are classified in windows of so many words, each half over the one before.
 WINDOW = 32
+#: Words of a stretch that is compared with all templates, and how far apart stretches start.
+STRETCH, STEP = 48, 16
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, VARIANTS = 200, 3000, 60
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.8
 
@@ -139,10 +143,49 @@ def train(paragraphs: list[bytes], seed: int = 5) -> Classifier:
     return model
 
 
+class Notices:
+    """All families' templates, for comparison with stretches of text."""
+
+    def __init__(self, compared: dict[int, list[list[int]]], n_words: int):
+        self.families = [k for k, ts in compared.items() for _ in ts]
+        self.templates = [t for ts in compared.values() for t in ts]
+        self.count = np.zeros((n_words + 1, len(self.templates)), np.float32)
+        self.own = np.zeros_like(self.count)  # words that no other family's templates have
+        has = [{w for t in ts for w in t} for ts in compared.values()]
+        for j, (k, t) in enumerate(zip(self.families, self.templates, strict=True)):
+            own = set(t) - set().union(*(has[o] for o in range(len(has)) if o != k))
+            for w in t:
+                self.count[w, j] += 1
+            self.own[list(own or t), j] = 1
+        self.least = np.array([LEAST_SHARE * len(t) for t in self.templates], np.float32) - 1e-3
+
+    def find(self, words: np.ndarray) -> set[tuple[int, int]]:
+        """(family, place of a word of it) of the notices in a paragraph's words (-1: in no template)."""
+        at = np.nonzero(words >= 0)[0]
+        starts = np.unique(np.maximum(np.concatenate([at // STEP * STEP - k * STEP for k in range(STRETCH // STEP)]), 0)) if len(at) else at
+        found = set()
+        for a in range(0, len(starts), 4096):
+            part = starts[a : a + 4096]
+            there = np.zeros((len(part), len(self.count)), np.float32)
+            for k in range(STRETCH):
+                i = part + k
+                ok = i < len(words)
+                there[np.nonzero(ok)[0], words[i[ok]]] = 1
+            there[:, -1] = 0
+            hit, template = np.nonzero((there @ self.count >= self.least) & (there @ self.own > 0))
+            for r, j in zip(hit.tolist(), template.tolist(), strict=True):
+                start, t = int(part[r]), self.templates[j]
+                stretch = words[start : start + STRETCH]
+                if common_length(t, stretch.tolist()) >= LEAST_SHARE * len(t):
+                    found.add((self.families[j], start + int(np.nonzero(np.isin(stretch, t))[0][0])))
+        return found
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_predicted, n_confirmed, families) for each row: its paragraphs (lines with a
     word), those that the classifier gives a family, those that a template confirms, and the confirmed
-    families, sorted and joined by commas.
+    families, sorted and joined by commas. Notices are also looked for across the ends of successive lines with
+    words; one that is counts as confirmed in the line that it begins in.
 
     Null and empty texts have no paragraphs. Rows without an id and repeated rows are scanned each; very
     long paragraphs are classified in windows; an empty table gives an empty table; other columns are
@@ -156,18 +199,33 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for k, f in enumerate(FAMILIES[:-1]):
         compared[k] = [[get(w, -1) for w in plain_words(t.encode())] for t in TEMPLATES[f]]
 
+    notices = Notices(compared, len(model.words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch):
                 numbers, sizes, doc = [], [], []
                 paragraphs = np.zeros(len(texts), np.int64)
                 owner: list[int] = []
+                predicted, confirmed, families = [set() for _ in texts], [set() for _ in texts], [set() for _ in texts]
+
+                def across(d: int, lines: list[list[int]]) -> None:
+                    ends = np.cumsum([len(x) for x in lines])
+                    for k, place in notices.find(np.array([w for x in lines for w in x], np.int64)):
+                        confirmed[d].add(int(paragraphs[d]) - len(lines) + int(np.searchsorted(ends, place, side="right")))  # noqa: B023
+                        families[d].add(FAMILIES[k])  # noqa: B023
+
                 for d, text in enumerate(texts):
+                    block: list[list[int]] = []
                     for line in text.split(b"\n"):
                         words = plain_words(line)
                         if not words:
+                            if block:
+                                across(d, block)
+                            block = []
                             continue
                         own = [get(w, -1) for w in words]
+                        block.append(own)
                         starts = range(0, len(own) - WINDOW // 2, WINDOW // 2) if len(own) > WINDOW else (0,)
                         for at in starts:
                             part = own[at : at + WINDOW]
@@ -176,12 +234,13 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                             doc.append(d)
                             owner.append(int(paragraphs[d]))
                         paragraphs[d] += 1
+                    if block:
+                        across(d, block)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 flat = np.array(numbers, np.int64)
                 p = model.probabilities(model.logits(flat, row, len(sizes))) if sizes else np.zeros((0, len(FAMILIES)))
                 best = p.argmax(1)
                 ends = np.cumsum([0, *sizes])
-                predicted, confirmed, families = [set() for _ in texts], [set() for _ in texts], [set() for _ in texts]
                 for w in np.nonzero((best < len(FAMILIES) - 1) & (p.max(1) >= LEAST_PROBABILITY))[0].tolist():
                     k, d, words = int(best[w]), doc[w], flat[ends[w] : ends[w + 1]].tolist()
                     predicted[d].add(owner[w])
