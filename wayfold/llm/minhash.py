@@ -10,16 +10,18 @@ Steps, each on what the one before leaves:
 2. In each bucket of each table, every member is compared with one leader (a star, not all pairs).
    Confirmed links give components. Pairs inside a component need no further comparison: they cannot
    change it.
-3. In buckets that hold several components, another star with another leader, the first of its bucket in
+3. In buckets that hold several components, further stars with other leaders, the first of their bucket in
    an order by a hash of the id, so that buckets share leaders.
-4. Then all that is left across the components of a bucket is compared: pairs that agree in enough
-   minhashes on their sets; and components that would make many such pairs with a bucket's largest one as a
-   whole, in blocks of documents whose intersections are one matrix product.
+4. Buckets that still hold several components are gathered by leader: whoever shares a bucket shares its
+   leader's group. In a group, the members outside its largest component are compared with all members of a
+   size that allows a link, whole sets, in blocks whose intersections are one matrix product. No pair is
+   a row, and none is passed over.
 Sets of candidates only are moved; joins are on ids, which Spark may split where one is frequent.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Scratch, documents, slices, words
+from wayfold.llm.common import Scratch, documents, few_rows, parts_of, slices, words
 
 SHINGLE_WORDS = 5
 SIMILARITY = 75  # hundredths
 BAND, TABLES = 2, 10
 #: Stars before all that is left is compared.
-STARS = 2
-#: Minhashes of all 40 in which pairs of step 4 must agree: at similarity 0.75 fewer agree with a
-#: probability below 0.0003.
-AGREEING = 20
-#: Two components whose members in a bucket make so many pairs are compared whole, in blocks.
-MANY_PAIRS, BLOCK = 64, 256
+STARS = 3
+#: Documents of a block on average, and shingles, whichever makes more blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: A set that at least this part of all documents have is one of at most HOT, which go to every task.
+HOT = 4096
+#: Pairs and rows with whole sets that are handed to Python at a time.
+ROWS_WITH_SETS = 1000
 
 _rng = np.random.default_rng(20)
 _POWERS = _rng.integers(1, 1 << 62, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,35 +75,33 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE_WORDS) -> list[np.ndarr
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """2 * TABLES band keys for each set, and 16 bits of each of its minhashes; sets must not be empty."""
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """2 * TABLES band keys for each set; sets must not be empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out, low = np.zeros((len(sets), 2 * TABLES), np.uint64), np.zeros((len(sets), len(_A)), np.uint16)
+    out = np.zeros((len(sets), 2 * TABLES), np.uint64)
     with np.errstate(over="ignore"):
         for k, (a, b) in enumerate(zip(_A, _B, strict=True)):
-            least = np.minimum.reduceat(mix(flat * a + b), starts)
-            low[:, k] = mix(least)
-            out[:, k // BAND] = mix(out[:, k // BAND] + least + np.uint64(k))
-    return out.view(np.int64), low
+            out[:, k // BAND] = mix(out[:, k // BAND] + np.minimum.reduceat(mix(flat * a + b), starts) + np.uint64(k))
+    return out.view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, mins) for each row of (doc_id, text)."""
+    """(doc_id, n_shingles, set_key, bands) for each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch):
                 sets = shingle_sets(texts)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                bands, mins = np.zeros((len(sets), 2 * TABLES), np.int64), np.zeros((len(sets), len(_A)), np.uint16)
+                bands = np.zeros((len(sets), 2 * TABLES), np.int64)
                 if full:
-                    bands[full], mins[full] = band_keys([sets[k] for k in full])
+                    bands[full] = band_keys([sets[k] for k in full])
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), 2 * TABLES).cast(pa.list_(pa.int64()))
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([m.tobytes() for m in mins], pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "mins"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, mins binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,73 +159,54 @@ def star(rest: DataFrame, turn: int, similarity: int) -> DataFrame:
     return rest.join(lead, "bucket").filter((F.col("component") != F.col("component_l")) & sizes).select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
 
 
-def heavy_pairs(rest: DataFrame) -> DataFrame:
-    """(minor, major): components that make many pairs with the buckets' largest component, over all buckets."""
-    apart = rest.filter("component <> major")
-    return apart.groupBy("component", "major").agg(F.sum("size_major").alias("pairs")).filter(F.col("pairs") >= MANY_PAIRS).select(F.col("component").alias("minor"), "major")
-
-
-def across(rest: DataFrame, heavy: DataFrame, firsts: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): pairs of different components in a bucket that agree in enough minhashes, but for heavy
-    pairs of components. A bucket is worked on in pairs of blocks; members of its largest component are
-    on one side only. Of the buckets that a pair shares, that of the first table reports it."""
-    known = heavy.select(F.col("minor").alias("component"), "major", F.lit(True).alias("heavy"))
-    entry = F.struct("doc_id", "n", "component", "bands", "mins", "lone").alias("entry")
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / BLOCK))
-    all_ = rest.join(known, ["component", "major"], "left").withColumn("lone", F.col("heavy").isNull()).join(firsts.select("doc_id", "bands", "mins"), "doc_id").select("bucket", "table", "major", "component", block.alias("block"), entry)
-    side = lambda rows, name: rows.groupBy("bucket", "table", "major", "block").agg(F.collect_list("entry").alias(name)).drop("block")
-    pairs = side(all_, "x").join(side(all_.filter("component <> major"), "y").drop("major", "table"), "bucket")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[np.ndarray] = []
-            for k, (table, major) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)):
-                (ids, n, kind, bands, mins, _), (other, m, other_kind, other_bands, other_mins, lone) = (columns_of(batch.column(c)[k].values) for c in (2, 3))
-                ok = (kind[:, None] != other_kind) & (((kind == major)[:, None] & lone) | ((kind != major)[:, None] & (kind[:, None] < other_kind)))
-                ok &= 100 * np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m)
-                x, y = np.nonzero(ok)
-                same = bands[x] == other_bands[y]
-                agree = (same[:, :TABLES].argmax(1) * TABLES + same[:, TABLES:].argmax(1) == table) & ((mins[x] == other_mins[y]).sum(1) >= AGREEING)
-                found.append(np.stack([np.minimum(ids[x], other[y]), np.maximum(ids[x], other[y])])[:, agree])
-            a, b = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return pairs.select("table", "major", "x", "y").mapInArrow(run, "a long, b long").distinct()
-
-
-def columns_of(entries: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """doc_id, n, component, bands, mins, lone of a list of entries."""
-    plain = [entries.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "component", "lone")]
-    bands = entries.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)
-    mins = np.frombuffer(b"".join(entries.field("mins").to_pylist()), np.uint16).reshape(len(entries), -1)
-    return *plain[:3], bands, mins, plain[3]
-
-
-def between(heavy: DataFrame, found: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): links between the components of heavy pairs, one for each document of the minor one and
-    each block of the major one. All documents of both are compared, in pairs of blocks."""
-    own = sets.select("doc_id", "shingles").join(found, "doc_id", "left").select("doc_id", "shingles", F.coalesce("component", "doc_id").alias("component"))
-
-    def blocks(docs: DataFrame, name: str) -> DataFrame:
-        of = docs.groupBy("major").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        return docs.join(of, "major").groupBy("major", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("doc_id", "shingles")).alias(name)).drop("block")
+def settled(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): links between the components of open buckets, one at least for each document and component
+    of a block that it is linked with. Buckets are gathered by their leader; a group's members outside its largest
+    component meet all its members whose sizes allow a link, in pairs of blocks. Sizes are in classes
+    of a factor 100 / similarity, so that a link joins equal or neighbouring classes."""
+    lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(STARS)), "doc_id"))["doc_id"].alias("g"))
+    grouped = rest.join(lead, "bucket").select("g", "doc_id", "component", F.col("n"), F.floor(F.log("n") / math.log(100 / similarity)).alias("c")).distinct()
+    sizes = grouped.groupBy("g", "component").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("g").agg(F.max_by("component", "size").alias("major"))
+    x = grouped.join(major, "g").filter("component <> major").drop("major")
+    y = grouped.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    blocks = lambda df, name: df.groupBy("g", "c").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias(name))
+    plan = blocks(x, "x_blocks").join(blocks(y, "y_blocks"), ["g", "c"])
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("g", "c", "i", "j", "side", "component", "doc_id")
+    left = x.join(plan, ["g", "c"]).withColumns({"i": own("x_blocks"), "side": F.lit(0)}).withColumn("j", every("y_blocks")).select(*columns)
+    right = y.join(plan, ["g", "c"]).withColumns({"j": own("y_blocks"), "side": F.lit(1)}).withColumn("i", every("x_blocks")).select(*columns)
+    key = ("g", "c", "i", "j")
+
+    def links(members: list[tuple[int, int, int, np.ndarray]]) -> np.ndarray:
+        (kind_x, ids_x, sets_x), (kind_y, ids_y, sets_y) = ([np.array([m[1] for m in part]), np.array([m[2] for m in part]), [m[3] for m in part]] for part in ([m for m in members if m[0] == s] for s in (0, 1)))
+        if not len(ids_x) or not len(ids_y):
+            return np.zeros((0, 2), np.int64)
+        row, column = np.nonzero(similar(sets_x, sets_y, similarity) & (kind_x[:, None] != kind_y))
+        _, one = np.unique(np.stack([row, kind_y[column]]), axis=1, return_index=True)
+        return np.sort(np.stack([ids_x[row[one]], ids_y[column[one]]], 1), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (ids_x, sets_x), (ids_y, sets_y) = (unpacked(batch.column(c)[k].values) for c in (0, 1))
-                hit = similar(sets_x, sets_y, similarity)
-                pairs = [(ids_x[r], ids_y[int(hit[r].argmax())]) for r in np.nonzero(hit.any(1))[0]]
-                yield pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+        now, members = None, []
 
-    minors = own.join(heavy.withColumnRenamed("minor", "component"), "component").select("major", "doc_id", "shingles")
-    majors = own.withColumnRenamed("component", "major").join(heavy.select("major").distinct(), "major", "left_semi")
-    sides = blocks(minors, "docs_x").join(blocks(majors, "docs_y"), "major")
-    return sides.select("docs_x", "docs_y").mapInArrow(run, "a long, b long")
+        def flush() -> pa.RecordBatch:
+            found = links(members)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
 
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)
+            for k, (*at, side, kind, doc) in enumerate(rows):
+                if at != now:
+                    if members:
+                        yield flush()
+                    now, members = at, []
+                members.append((side, kind, doc, np.frombuffer(batch.column(7)[k].as_buffer(), np.uint64)))
+        if members:
+            yield flush()
 
-def unpacked(docs: pa.StructArray) -> tuple[list[int], list[np.ndarray]]:
-    return docs.field("doc_id").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in docs.field("shingles")]
+    both = left.union(right).join(sets.select("doc_id", "shingles"), "doc_id").select(*columns, "shingles")
+    return both.repartition(parts_of(rest.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: int, columns: int = 8192) -> np.ndarray:
@@ -246,51 +228,62 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: int, co
     return (100 * both >= similarity * (n[:, None] + m[None] - both)) & (both > 0)
 
 
+def attached(rows: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """rows left joined with values (set_key, copies, component_id) by set_key. Sets that many rows have are
+    few, and go to every task; no other key has more than a HOT-th of the rows."""
+    hot = F.broadcast(values.filter(F.col("copies") * HOT >= total).select("set_key", "component_id"))  # at most HOT rows
+    cold = values.filter(F.col("copies") * HOT < total).select("set_key", "component_id")
+    return rows.join(hot, "set_key").union(rows.join(hot, "set_key", "left_anti").join(cold, "set_key", "left"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row.
 
     n_shingles: the size of the document's set. component_id: the smallest id that it reaches over links
     of at least `similarity` hundredths, its own included. kept: it is that document. Null and empty
-    texts, and texts of white space, have an empty set and no links. Rows with equal ids are one document
-    (all of them kept or none); a row without an id has no links, no component, and is kept. An empty
-    table gives an empty table; other columns are ignored.
+    texts, and texts of white space, have an empty set and no links. Rows with equal ids and texts are one
+    document (all of them kept or none); under one id with several texts, each row goes by its own text's
+    links. A row without an id has no links, no component, and is kept. An empty table gives an empty
+    table; other columns are ignored. Very long texts take part whole. Ties: the smallest id of a component stays.
     """
-    scratch = Scratch(df.sparkSession)
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     docs = documents(df, id_col, text_col)
     signed = scratch.write(signatures(docs), "signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    shared = classes.filter("copies > 1").select("set_key", "first")
-    heads = classes.select(F.col("first").alias("doc_id"), "set_key")
-    firsts = scratch.write(some.join(heads, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select("doc_id", F.col("n_shingles").alias("n"), "bands", "mins"), "firsts")
+    classes = scratch.write(some.groupBy("set_key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands")).alias("first"), F.count("*").alias("copies")), "classes")
+    firsts = classes.select("first.*").repartition(parts_of(spark), "doc_id")
 
     pair = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(TABLES)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(TABLES)), lambda j: F.xxhash64(i, j, F.element_at("bands", i), F.element_at("bands", j + TABLES)))))
-    entries = firsts.select("doc_id", "n", F.posexplode(pair).alias("table", "bucket"))
+    entries = firsts.select("doc_id", "n", F.explode(pair).alias("bucket"))
     full = entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
     members = scratch.write(entries.join(full, "bucket"), "members")
     rest = members.withColumn("component", F.col("doc_id"))  # later: what buckets hold besides components
-    sets = scratch.write(sets_of(docs.filter("doc_id IS NOT NULL"), members.select("doc_id").distinct()), "sets")
-    seen = links = None
-    for turn in range(STARS + 1):
-        if turn == STARS:
-            heavy = scratch.write(heavy_pairs(rest), "heavy")
-        pairs = star(rest, turn, similarity) if turn < STARS else across(rest, heavy, firsts, similarity)
-        pairs = scratch.write(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        new = confirmed(pairs, sets, similarity)
-        if turn == STARS:
-            new = new.union(between(heavy, found, sets, similarity))
-        new = scratch.write(new, "links")
-        links = new if links is None else links.union(new)
-        if turn == 0 or not new.isEmpty():
-            found = components(links, scratch)
-        if turn < STARS:
-            labelled = members.join(found, "doc_id", "left").select("bucket", "table", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-            sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-            open_ = sizes.groupBy("bucket").agg(F.max_by("component", "size").alias("major"), F.max("size").alias("size_major"), F.sum("size").alias("total"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
-            rest = scratch.write(labelled.join(sizes.join(open_, "bucket"), ["bucket", "component"]), "rest")
-    scratch.drop("members", "rest", "sets", "pairs", "firsts", "heavy")
-    first = signed.join(shared, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first"))
-    to = found.select(F.col("doc_id").alias("first"), F.col("component").alias("reached"))
-    of = F.coalesce("reached", "first")
-    return first.join(to, "first", "left").select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(F.col("doc_id") == of, F.lit(True)).alias("kept"))
+    with few_rows(spark, ROWS_WITH_SETS):
+        sets = scratch.write(sets_of(docs.filter("doc_id IS NOT NULL"), members.select("doc_id").distinct()), "sets")
+        seen = links = None
+        for turn in range(STARS + 1):
+            if turn < STARS:
+                pairs = star(rest, turn, similarity)
+                pairs = scratch.write(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+                seen = pairs if seen is None else seen.union(pairs)
+                new = scratch.write(confirmed(pairs, sets, similarity), "links")
+            else:
+                new = scratch.write(settled(rest, sets, similarity), "links")
+            links = new if links is None else links.union(new)
+            if turn == 0 or not new.isEmpty():
+                found = components(links, scratch)
+            if turn < STARS:
+                scratch.drop("rest")
+                labelled = members.join(found, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+                open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+                rest = scratch.write(labelled.join(open_, "bucket"), "rest")
+                if rest.isEmpty():
+                    break
+    scratch.drop("members", "rest", "sets", "pairs", "links")
+    of = classes.select("set_key", "copies", F.col("first.doc_id").alias("doc_id")).join(found, "doc_id", "left")
+    of = of.select("set_key", "copies", F.coalesce("component", "doc_id").alias("component_id"), "doc_id").filter("copies > 1 OR component_id <> doc_id").drop("doc_id")
+    joined = attached(some.select("set_key", "doc_id", "n_shingles"), of, signed.count()).drop("set_key")
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    each = joined.union(alone).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return each.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
