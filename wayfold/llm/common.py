@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +87,8 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batch in pieces of few rows and bytes, each with its texts as UTF-8 bytes."""
-    column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+    """The batch in pieces of few rows and bytes, each with its texts as UTF-8 bytes, null as empty."""
+    column = pa.compute.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()), b"")
     lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
     start = 0
     while start < batch.num_rows:
