@@ -23,17 +23,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
-    that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+    Where neither is set, a local session (tests, one machine) has one made for it; a cluster is refused, since
+    executors would not see the driver's folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Rows of an id and a few numbers that may go to every task, after they have been counted.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has been found to have few."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage; `drop` frees those no longer read."""
 

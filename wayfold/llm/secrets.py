@@ -23,7 +23,7 @@ from re._constants import ASSERT, ASSERT_NOT, AT, BRANCH, IN, LITERAL, MAX_REPEA
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import documents
+from wayfold.llm.common import Scratch, small
 
 #: Documents that an index block holds on average.
 BLOCK_DOCUMENTS = 2048
@@ -224,16 +224,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: the id, the text, and `found`, array<struct<start, ord, kind, end>> of
-    all rules' matches in code points."""
-    docs = documents(df, id_col, text_col)
+    all rules' matches in code points, in order of their starts, ties by the rules' order; besides these the
+    columns of `keep`, which must have other names.
+
+    Null texts are empty; rows without an id are scanned by every rule; repeated rows are scanned each; very
+    long texts are scanned whole; an empty table gives an empty table; other columns are ignored.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted({g for q in queries.values() for c in q for a in c for g in a})
     if grams:
         blocks = max(1, -(-docs.count() // BLOCK_DOCUMENTS))
-        kinds = answer(rules, queries, build_index(docs, grams, blocks))
-        docs = docs.join(kinds, "doc_id", "left")
+        kinds = Scratch(df.sparkSession).write(answer(rules, queries, build_index(docs.select("doc_id", "text"), grams, blocks)), "kinds")
+        docs = docs.join(small(kinds), "doc_id", "left")
     else:
         docs = docs.withColumn("kinds", F.array().cast("array<string>"))
     nothing = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
@@ -242,7 +247,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spans = spans_of(r, order, F.col("text"))
         asked = (F.array_contains("kinds", r.kind) | F.col("doc_id").isNull()) if queries[r.kind] else F.rlike("text", F.lit(r.pattern))
         found.append(F.when(asked, spans).otherwise(nothing))
-    return docs.select("doc_id", "text", F.concat(*found).alias("found"))
+    return docs.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("found"), *keep)
 
 
 def secret_digest(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ labelled rows (`Settings.most_rows`, `Settings.most_chars`); everything else see
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ class Settings:
     filters: int = 8  # of each filter width
     spans: tuple[int, ...] = (1, 2, 3)
     most_rows: int = 3000  # training rows of each class, the first by a hash of the id
-    most_chars: int = 60_000  # longer texts are not trained on
+    most_chars: int = 60_000  # the rows are chosen among those with texts of at most so many
     epochs: int = 4
     batch: int = 48
     rate: float = 0.05
@@ -218,42 +219,58 @@ def calibrate(m: Model, texts: list[str], labels: np.ndarray, weights: np.ndarra
         m.thresholds[lang] = float(min(max((q[k] + low) / 2, 0.2), 0.8))
 
 
-def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """A model from the labelled rows whose fold is not 0. With too few of either class it says 0
-    everywhere that nothing was learned. Repeated labels of a document: toxic if one says so."""
-    folds = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    folds = folds.filter((crc_mod("doc_id", s.folds) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    shares = {r.toxic: r["count"] for r in folds.groupBy("toxic").count().collect()}
-    taken = [folds.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.most_rows) for y in (0, 1)]
-    sample = F.broadcast(taken[0].union(taken[1]))  # at most 2 * most_rows rows of two numbers
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"))
-    rows = text.filter(F.length("text") <= s.most_chars).join(sample, "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))[: 2 * s.most_rows]
-    y = np.array([r.toxic for r in rows], np.float32)
+def fitted(rows: list[tuple], shares: dict[int, int], s: Settings) -> Model:
+    """A model from rows of (doc_id, text, lang, toxic); shares: labelled rows of each class. With too few of either
+    class it says 0 everywhere that nothing was learned."""
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
+    y = np.array([r[3] for r in rows], np.float32)
     if min((y > 0).sum(), (y == 0).sum()) < 5:
         blank = Model.fresh(s)
         blank.top[:], blank.scale = 0, (1.0, -3.0)
         return blank
-    back = np.array([zlib.crc32(f"back{r.doc_id}".encode()) % 5 == 0 for r in rows])
+    back = np.array([zlib.crc32(f"back{r[0]}".encode()) % 5 == 0 for r in rows])
     if min((y[back] > 0).sum(), (y[back] == 0).sum()) < 2:
         back[:] = True
         fit = np.arange(len(rows))
     else:
         fit = np.nonzero(~back)[0]
-    m = train([rows[k].text for k in fit], y[fit], s)
+    m = train([rows[k][1] for k in fit], y[fit], s)
     held = np.nonzero(back)[0]
     weight = {v: shares[v] / max(1, (y == v).sum()) for v in (0, 1)}
-    calibrate(m, [rows[k].text for k in held], y[held], np.array([weight[int(v)] for v in y[held]]), [rows[k].lang for k in held])
+    calibrate(m, [rows[k][1] for k in held], y[held], np.array([weight[int(v)] for v in y[held]]), [rows[k][2] for k in held])
     return m
 
 
+def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    """A model from the labelled rows whose fold is not 0, of each class at most `most_rows` of those whose text
+    has at most `most_chars`. Repeated labels of a document: toxic if one says so; of several texts under one id
+    the first in order is learned from. It is trained in one task, which can be run again, and only the model
+    comes to the driver."""
+    folds = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    folds = folds.filter((crc_mod("doc_id", s.folds) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).filter(F.length("text") <= s.most_chars)
+    known = folds.join(text.select("doc_id").distinct(), "doc_id")
+    shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    taken = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.most_rows) for y in (0, 1)]
+    sample = F.broadcast(taken[0].union(taken[1]))  # at most 2 * most_rows rows of two numbers
+    rows = text.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "t.text", "t.lang", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(found, shares, s))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else fitted([], shares, s)
+
+
 def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(doc_id, score, predicted, flagged) for each row. predicted: score >= 0.5; flagged: score at least
     the threshold of the row's language, which is what a filter should use.
 
     Null and empty texts have the score of no words; rows with null ids and repeated rows are scored
-    each; an unknown or null language has the threshold 0.5; other columns are ignored.
+    each; an unknown or null language has the threshold 0.5; very long texts are scored whole; an empty
+    table gives an empty table; other columns are ignored. A score that ties with the threshold is flagged.
     """
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in df.columns else F.lit(None).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
@@ -261,8 +278,27 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch):
-                score = model.scores([t.decode() for t in texts])
-                least = np.array([model.thresholds.get(k, 0.5) for k in rows.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(score >= least)], ["doc_id", "score", "predicted", "flagged"])
+                score, flagged = judged(model, texts, rows.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(flagged)], ["doc_id", "score", "predicted", "flagged"])
 
     return docs.mapInArrow(run, "doc_id long, score double, predicted int, flagged boolean")
+
+
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows of df that are not flagged, with all their columns; each row by its own text and language, as in
+    `score_toxicity`. The rows are not moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in slices(batch, text_col):
+                lang = batch.schema.get_field_index(lang_col) if lang_col else -1
+                langs = rows.column(lang).to_pylist() if lang >= 0 else [None] * len(texts)
+                yield rows.filter(pa.array(~judged(model, texts, langs)[1]))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def judged(model: Model, texts: list[bytes], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores, and which of them reach their language's threshold."""
+    score = model.scores([t.decode() for t in texts])
+    return score, score >= np.array([model.thresholds.get(k, 0.5) for k in langs])
