@@ -2,6 +2,7 @@
 
 import random
 
+from wayfold.llm import licenses as L
 from wayfold.llm.licenses import TEMPLATES, scan_licenses
 
 
@@ -36,3 +37,50 @@ def test_wrapped_notices_and_several_licences(spark):
     ]
     got = {r.doc_id: r.families for r in scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert got == {k: f for k, _, f in rows}
+
+
+def test_templates_against_brute_force(spark):
+    """Every family's notices, whole or with words lost, wrapped at any width, are found where a comparison of every
+    stretch of words with every template finds them, and nothing else is."""
+    rng = random.Random(21)
+    prose = [f"word{k}" for k in range(400)]
+    rows = []
+    for k in range(150):
+        text = [rng.choice(prose) for _ in range(rng.randint(0, 120))]
+        for family in rng.sample(sorted(L.TEMPLATES), rng.randint(0, 2)):
+            own = rng.choice(L.TEMPLATES[family]).split()
+            own = [w for w in own if rng.random() > rng.choice([0, 0.1, 0.3])]
+            at = rng.randint(0, len(text))
+            text[at:at] = own
+        width = rng.randint(3, 30)
+        rows.append((k, "\n".join(" ".join(text[j : j + width]) for j in range(0, len(text), width))))
+
+    def families(text):
+        ws = L.plain_words(text.encode())
+        found = set()
+        for family, templates in L.TEMPLATES.items():
+            for t in templates:
+                own = L.plain_words(t.encode())
+                others = {w for f, ts in L.TEMPLATES.items() if f != family for o in ts for w in L.plain_words(o.encode())}
+                mark = set(own) - others or set(own)
+                spans = [ws[a : a + L.STRETCH] for a in range(0, max(len(ws), 1), L.STEP)]
+                if any(common([own.index(w) if w in own else -1 for w in part], [own.index(w) for w in own]) >= L.LEAST_SHARE * len(own) and mark & set(part) for part in spans):
+                    found.add(family)
+        return found
+
+    def common(a, b):
+        return L.common_length(b, a)
+
+    got = {r.doc_id: set(filter(None, r.families.split(","))) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k: families(t) for k, t in rows}
+    missed = {k: want[k] - got[k] for k in got if want[k] - got[k]}
+    assert sum(map(len, want.values())) > 60 and not missed
+    extra = {k: (got[k] - want[k]) for k in got if got[k] - want[k]}
+    assert sum(map(len, extra.values())) <= 3, extra  # a notice within one line and across two stretches
+
+
+def test_licences_in_very_long_texts_and_empty_tables(spark):
+    text = "plain words and more of them " * 30_000 + "\nReleased under the MIT License\n"
+    got = L.scan_licenses(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert [r.families for r in got] == ["mit", "mit"]
+    assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -2,8 +2,8 @@
 
 Sparse multinomial logistic regression over word unigrams and bigrams (those of the training notices)
 names a paragraph's licence family, or none. It is trained in numpy on varied copies of the templates
-and, for the unknown class, on a bounded sample of the corpus's own paragraphs (`SAMPLE_DOCUMENTS`, the
-first by a hash of the id). A temperature fitted on held-back rows calibrates the probabilities, so that
+and, for the unknown class, on a bounded sample of the corpus's own paragraphs (`SAMPLE_WINDOWS` windows, the
+least by a hash, of about `SAMPLE_DOCUMENTS` whole documents spread over all by a hash). A temperature fitted on held-back rows calibrates the probabilities, so that
 the unknown class keeps what is unsure. A prediction counts if the paragraph also holds enough of one of
 the family's templates, in order. Whatever is predicted, the templates of every family are also compared
 where a stretch of text, across line ends, holds enough of their words: notices are wrapped, and a paragraph
@@ -40,7 +40,7 @@ FAMILIES = (*sorted(TEMPLATES), "unknown")
 WINDOW = 32
 #: Words of a stretch that is compared with all templates, and how far apart stretches start.
 STRETCH, STEP = 48, 16
-SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, VARIANTS = 200, 3000, 60
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, VARIANTS = 1000, 4000, 60
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.8
 
 
@@ -117,10 +117,9 @@ def windows(words: list[bytes]) -> list[list[bytes]]:
     return [words[k : k + WINDOW] for k in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
 
 
-def train(paragraphs: list[bytes], seed: int = 5) -> Classifier:
-    """From varied templates, alone and among the corpus's words, and the corpus's paragraphs without one."""
+def train(plain: list[list[bytes]], seed: int = 5) -> Classifier:
+    """From varied templates, alone and among the corpus's words, and windows of the corpus's paragraphs without one."""
     rng = random.Random(seed)
-    plain = [w for p in paragraphs for w in windows(plain_words(p)) if w]
     texts, labels, other = [], [], []
     for k, family in enumerate(FAMILIES[:-1]):
         for template in TEMPLATES[family]:
@@ -136,7 +135,7 @@ def train(paragraphs: list[bytes], seed: int = 5) -> Classifier:
     model = Classifier([plain_words(t.encode()) for f in FAMILIES[:-1] for t in TEMPLATES[f]], 10**9)
     notices = [set(plain_words(t.encode())) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
     clean = [w for w in plain if all(len(n & set(w)) < 0.6 * len(n) for n in notices)]
-    other += clean[:SAMPLE_PARAGRAPHS] + [[b"x%d" % rng.randrange(1000) for _ in range(20)] for _ in range(20)]
+    other += clean + [[b"x%d" % rng.randrange(1000) for _ in range(20)] for _ in range(20)]
     texts, labels = texts + other, np.array(labels + [len(FAMILIES) - 1] * len(other))
     order = np.random.default_rng(seed).permutation(len(texts))
     model.fit([texts[k] for k in order], labels[order])
@@ -181,6 +180,21 @@ class Notices:
         return found
 
 
+def sampled(docs: DataFrame) -> list[list[bytes]]:
+    """Windows of the paragraphs of some whole documents, each document and window chosen by a hash of its own."""
+    share = min(1.0, SAMPLE_DOCUMENTS / max(docs.count(), 1))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in slices(batch):
+                found = [b" ".join(w) for t in texts for line in t.split(b"\n") for w in windows(plain_words(line)) if w]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["words"])
+
+    rows = some.mapInArrow(run, "words binary").distinct().orderBy(F.xxhash64("words"), "words").limit(SAMPLE_WINDOWS).collect()
+    return [bytes(r.words).split(b" ") for r in rows]
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_predicted, n_confirmed, families) for each row: its paragraphs (lines with a
     word), those that the classifier gives a family, those that a template confirms, and the confirmed
@@ -188,12 +202,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words; one that is counts as confirmed in the line that it begins in.
 
     Null and empty texts have no paragraphs. Rows without an id and repeated rows are scanned each; very
-    long paragraphs are classified in windows; an empty table gives an empty table; other columns are
-    ignored.
+    long texts are scanned whole, and very long paragraphs classified in windows; of families that the
+    classifier gives the same probability the first by name is taken; an empty table gives an empty table; other
+    columns are ignored.
     """
     docs = documents(df, id_col, text_col)
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).select(F.substring("text", 1, 20000).alias("text")).collect()
-    model = train([p.encode() for r in sample for p in r.text.split("\n")])
+    model = train(sampled(docs))
     get = model.words.get
     compared = {}
     for k, f in enumerate(FAMILIES[:-1]):
