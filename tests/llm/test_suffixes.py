@@ -48,3 +48,51 @@ def test_edges(spark):
     got = sorted((r.doc_id or 99, r.n_removed > 0) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [g[0] for g in got] == [1, 1, 2, 99] and got[3][1] and got[0][1] == got[1][1]
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def corpus(seed):
+    """Long texts with shared passages at all distances, periodic stretches, and near copies of one another."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdefgh ijklé\n") for _ in range(n))
+    passage, line, base = text(700), text(130), text(6000)
+    rows = []
+    for i in range(30):
+        own = list(base)
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(len(own))] = "#"
+        rows.append((i, "".join(own)))
+    rows += [(40 + i, text(rng.randint(0, 300)) + line + text(rng.randint(0, 300)) + passage[rng.randint(0, 500) :] + text(50)) for i in range(60)]
+    rows += [(200, "abcdefg" * 400), (201, "x" * 3000 + text(200) + "x" * 900), (202, text(4000) * 2)]
+    return rows
+
+
+def test_long_and_near_copied_texts(spark, monkeypatch):
+    import wayfold.llm.suffixes as S
+
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    look = lambda: {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert look() == want
+    monkeypatch.setattr(S, "MEETING", 2)  # nearly every rank is crowded
+    assert look() == want
+
+
+def test_texts_longer_than_a_piece(monkeypatch):
+    import numpy as np
+
+    import wayfold.llm.suffixes as S
+
+    texts = [t.encode() for _, t in corpus(6)]
+    def content():
+        out = set()
+        for b, ends, text, offset in S.pieces(texts):
+            rank, c1, c2, first, count, _ = S.runs(b, ends)
+            piece = np.searchsorted(ends, first, side="right")
+            for r, p, f, n in zip(rank.tolist(), piece.tolist(), first.tolist(), count.tolist(), strict=True):
+                at = f - (int(ends[p - 1]) if p else 0) + int(offset[p])
+                out |= {(int(text[p]), at + k, r) for k in range(n)}
+        return out
+    whole = content()
+    monkeypatch.setattr(S, "PIECE", 777)
+    assert content() == whole and len(whole) == sum(max(len(t) - 99, 0) for t in texts)

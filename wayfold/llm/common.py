@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,8 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
             self.made[name] = []
+        gc.collect()  # queries that have ended hold shuffle files until they are collected
+        jvm.System.gc()
 
     def drop_older(self, name: str) -> None:
         """Drops all but the newest table of this name."""

@@ -53,5 +53,20 @@ c AS (SELECT doc_id, min(r) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)"""
 
 
+#: Bytes are pairs of hexadecimal digits; a window that has come before starts a stretch of 100 that goes.
+OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(x, CAST(2 * p + 1 AS BIGINT), 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM d)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w),
+f AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM f),
+s AS (SELECT doc_id, n, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, n),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id),
+k AS (SELECT d.doc_id, x, coalesce(a, []) AS a, coalesce(b, []) AS b FROM d LEFT JOIN l ON d.doc_id = l.doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(b), 0) - coalesce(list_sum(a), 0) AS BIGINT) AS n_removed, CAST(len(a) AS BIGINT) AS n_spans,
+  sha256(from_hex(array_to_string(list_transform(range(0, len(a) + 1), lambda i: CASE WHEN len(a) = 0 THEN x WHEN i = 0 THEN substr(x, 1, 2 * a[1])
+    WHEN i = len(a) THEN substr(x, 2 * b[i] + 1) ELSE substr(x, 2 * b[i] + 1, 2 * (a[i + 1] - b[i])) END), ''))) AS kept_sha256,
+  array_to_string(list_transform(list_zip(a, b), lambda z: z[1] || ':' || z[2]), ',') AS spans FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cover_tree": OP2, "op7_secrets": op7_secrets(), "op9_minhash": OP9}
+    return {"op2_cover_tree": OP2, "op5_suffix_array": OP5, "op7_secrets": op7_secrets(), "op9_minhash": OP9}

@@ -39,7 +39,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return remove_repeats(read_table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(listed, ","))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
