@@ -48,3 +48,38 @@ def test_network_is_a_distribution():
 
 def test_empty_table(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_model_does_not_depend_on_partitions_and_knows_long_texts(spark, monkeypatch):
+    import wayfold.llm.languagemodel as L
+
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "d e", "f g h"]) for _ in range(rng.randint(0, 200)))) for i in range(300)]
+    docs.append((999, "a b c d e f g h " * 8000))
+    monkeypatch.setattr(L, "SHARD", 9000)
+    monkeypatch.setattr(L, "LANES", 4)
+    monkeypatch.setattr(L, "TOGETHER", 3)
+    look = lambda parts: {r.doc_id: (r.n_tokens, r.score) for r in score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()}
+    one, many = look(1), look(7)
+    assert one[999][0] == 64_001 and all(n == many[k][0] and abs(s - many[k][1]) <= 1e-5 * abs(s) for k, (n, s) in one.items())
+
+
+def test_gradients_against_differences():
+    """What one step of training changes weights by has the signs and proportions of the loss's differences."""
+    import wayfold.llm.languagemodel as L
+
+    rng = np.random.default_rng(4)
+    stream = rng.integers(0, 70, L.LANES * 5 + 1)
+    loss_of = lambda n: -n.loss(stream)
+    net = Network(np.arange(1, 71, dtype=float))
+    grad = net.gradients(*net.lanes(stream), np.zeros((L.LANES, L.HIDDEN), np.float32))[0]
+    for name in net.NAMES:
+        x, g = getattr(net, name), grad[name]
+        k = int(np.abs(g).argmax())
+        before, step = x.flat[k], 1e-2
+        x.flat[k] = before + step
+        up = loss_of(net)
+        x.flat[k] = before - step
+        down = loss_of(net)
+        x.flat[k] = before
+        assert abs((up - down) / (2 * step) - g.flat[k]) < 0.05 * abs(g.flat[k]) + 1e-4, name

@@ -6,11 +6,13 @@ output is factored: a class, then a word of the class. A word outside the shortl
 probability of that stand-in times the word's smoothed share among all outside words, so a text's
 probability is complete. Scoring carries the state from window to window through the whole document.
 
-Training truncates backpropagation at `STEPS` tokens and carries the state on. It starts on the driver with
-a bounded set of documents, and goes on over a fixed fraction of all training documents (`FRACTION`), which
-grows with the corpus: each task trains its own copy, and the copies are averaged by the tokens they saw.
+Every training document is learned from, in one pass. The documents are dealt by a hash into shards of about
+`SHARD` tokens, so that shards grow in number with the corpus and the model is the same however Spark
+divides the rows. Backpropagation is truncated at `STEPS` tokens, with the state carried on. Shard 0 trains the
+first weights; each shard goes on from them with a copy of its own, and the copies are averaged by the tokens that
+they saw, in the order of the shards.
 
-Words with a count of at least a 65536th of all tokens are at most 65536, and go to every task. Other words
+Words with a count of at least a `HEAVY`-th of all tokens are at most HEAVY, and go to every task. Other words
 meet their counts in a join by word; only sums by document come back.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Scratch, crc_mod, slices, words
+from wayfold.llm.common import Scratch, crc_mod, few_rows, slices, words
 
 FOLDS, HELD = 7, 2
-HEAVY = 1 << 16
+HEAVY = 1 << 17
 SHORTLIST, CLASSES, HIDDEN = 1024, 32, 24
-STEPS, LANES, RATE = 24, 48, 0.04
-WARM_DOCUMENTS, WARM_CHARS, FRACTION = 400, 20_000, 24
+STEPS, LANES, RATE = 24, 256, 0.05
+SHARD, TOGETHER = 2_000_000, 64  # tokens of a shard; copies added up at a time
 FLUSH = 200_000
+#: Tokens that are scored at a time, and windows of tokens that are trained on at a time.
+SCORED, WINDOWS = 1 << 24, 40
 END = b""  # the token at a text's end; no word is empty
 
 
@@ -97,79 +102,101 @@ class Network:
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithm of each text's probability; texts are word numbers that end with the end's."""
+        """Natural logarithm of each text's probability; texts are word numbers that end with the end's. All
+        texts go on side by side, each with its state, until it ends."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
         lengths = np.array([len(texts[k]) for k in order])
+        flat = np.concatenate([texts[k] for k in order]) if len(texts) else np.zeros(0, np.int16)
+        starts = np.cumsum(lengths) - lengths
         total, h = np.zeros(len(texts)), np.zeros((len(texts), HIDDEN), np.float32)
-        inputs = self.emb @ self.wx + self.b
+        inputs = (self.emb @ self.wx + self.b).astype(np.float32)
         previous = np.full(len(texts), self.end)
         for at in range(0, int(lengths.max(initial=0)), STEPS):
-            active = int(np.searchsorted(-lengths, -at, side="left"))
-            window = np.full((active, STEPS), -1)
-            for k in range(active):
-                part = texts[order[k]][at : at + STEPS]
-                window[k, : len(part)] = part
             states, targets, rows = [], [], []
-            for s in range(STEPS):
-                n = int(np.searchsorted(-lengths, -(at + s), side="left"))
+            for s in range(at, at + STEPS):
+                n = int(np.searchsorted(-lengths, -s, side="left"))
                 if n == 0:
                     break
                 h[:n] = self.step(inputs[previous[:n]], h[:n])[0]
                 states.append(h[:n].copy())
-                targets.append(window[:n, s])
+                previous[:n] = flat[starts[:n] + s]
+                targets.append(previous[:n].copy())
                 rows.append(np.arange(n))
-                previous[:n] = window[:n, s]
-            np.add.at(total, np.concatenate(rows), self.log_probability(np.concatenate(states), np.concatenate(targets)))
+            total += np.bincount(np.concatenate(rows), self.log_probability(np.concatenate(states), np.concatenate(targets)), minlength=len(total))
         out = np.zeros(len(texts))
         out[order] = total
         return out
 
-    def train(self, stream: np.ndarray, rate: float = RATE) -> int:
-        """Adagrad over a stream of word numbers in `LANES` lanes, the state carried along each lane."""
-        length = (len(stream) - 1) // LANES
-        if length < 2:
-            return 0
-        x = stream[: length * LANES].reshape(LANES, length)
-        y = stream[1 : length * LANES + 1].reshape(LANES, length)
-        h, hid = np.zeros((LANES, HIDDEN), np.float32), HIDDEN
-        for at in range(0, length, STEPS):
-            xs, ys = x[:, at : at + STEPS].T, y[:, at : at + STEPS].T
-            trace = []
-            for s in range(len(xs)):
-                new, z, r, c = self.step(self.emb[xs[s]] @ self.wx + self.b, h)
-                trace.append((h, z, r, c))
-                trace[-1] += (new,)
-                h = new
-            grad = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-            hs, word = np.concatenate([t[4] for t in trace]), ys.ravel()
-            n, kind = len(word), word // self.size
-            p = np.exp(log_softmax(hs @ self.wc + self.bc))
-            p[np.arange(n), kind] -= 1
-            p /= n
-            grad["wc"], grad["bc"] = hs.T @ p, p.sum(0)
-            dh_out = p @ self.wc.T
-            for c in np.unique(kind):
-                rows = np.nonzero(kind == c)[0]
+    def lanes(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and targets, lanes x steps: the stream in `LANES` stretches of one length."""
+        length = max(len(stream) - 1, 0) // LANES
+        return stream[: length * LANES].reshape(LANES, length), stream[1 : length * LANES + 1].reshape(LANES, length)
+
+    def loss(self, stream: np.ndarray) -> float:
+        """Mean natural logarithm of a token's probability over the lanes, each from a state of zeros."""
+        x, y = self.lanes(stream)
+        h, states = np.zeros((LANES, HIDDEN), np.float32), []
+        for s in range(x.shape[1]):
+            h = self.step(self.emb[x[:, s]] @ self.wx + self.b, h)[0]
+            states.append(h)
+        return float(self.log_probability(np.concatenate(states), y.T.ravel()).mean())
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean loss of a window of tokens (lanes x steps), and the state after it; h: the state before."""
+        hid, xs, trace = HIDDEN, x.T, []
+        inputs = self.emb @ self.wx + self.b
+        for now in xs:
+            new, z, r, c = self.step(inputs[now], h)
+            trace.append((h, z, r, c, new))
+            h = new
+        grad = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
+        hs, word = np.concatenate([t[4] for t in trace]), y.T.ravel()
+        n, kind = len(word), word // self.size
+        p = np.exp(log_softmax(hs @ self.wc + self.bc))
+        p[np.arange(n), kind] -= 1
+        p /= n
+        grad["wc"], grad["bc"] = hs.T @ p, p.sum(0)
+        dh_out = p @ self.wc.T
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            rows = order[ends[c] : ends[c + 1]]
+            if len(rows):
                 q = np.exp(log_softmax(hs[rows] @ self.ww[c] + self.bw[c]))
                 q[np.arange(len(rows)), word[rows] - c * self.size] -= 1
                 q /= n
                 grad["ww"][c], grad["bw"][c] = hs[rows].T @ q, q.sum(0)
                 dh_out[rows] += q @ self.ww[c].T
-            dh = np.zeros_like(h)
-            for s in range(len(xs) - 1, -1, -1):
-                before, z, r, c, _ = trace[s]
-                dh = dh + dh_out[s * LANES : (s + 1) * LANES]
-                dc = dh * z * (1 - c * c)
-                back = dc @ self.wh[:, 2 * hid :].T
-                dz, dr = dh * (c - before) * z * (1 - z), back * before * r * (1 - r)
-                gates = np.concatenate([dz, dr, dc], 1)
-                grad["b"] += gates.sum(0)
-                e = self.emb[xs[s]]
-                grad["wx"] += e.T @ gates
-                np.add.at(grad["emb"], xs[s], gates @ self.wx.T)
-                grad["wh"][:, : 2 * hid] += before.T @ gates[:, : 2 * hid]
-                grad["wh"][:, 2 * hid :] += (r * before).T @ dc
-                dh = dh * (1 - z) + back * r + gates[:, : 2 * hid] @ self.wh[:, : 2 * hid].T
+        dh, all_gates = np.zeros_like(h), []
+        for s in range(len(xs) - 1, -1, -1):
+            before, z, r, c, _ = trace[s]
+            dh = dh + dh_out[s * LANES : (s + 1) * LANES]
+            dc = dh * z * (1 - c * c)
+            back = dc @ self.wh[:, 2 * hid :].T
+            dz, dr = dh * (c - before) * z * (1 - z), back * before * r * (1 - r)
+            gates = np.concatenate([dz, dr, dc], 1)
+            all_gates.append(gates)
+            grad["wh"][:, : 2 * hid] += before.T @ gates[:, : 2 * hid]
+            grad["wh"][:, 2 * hid :] += (r * before).T @ dc
+            dh = dh * (1 - z) + back * r + gates[:, : 2 * hid] @ self.wh[:, : 2 * hid].T
+        gates, seen = np.concatenate(all_gates), xs[::-1].ravel()
+        grad["b"] += gates.sum(0)
+        # By word: what goes back to an input is the same product for all places of the word.
+        order = np.argsort(seen, kind="stable")
+        first = np.nonzero(np.diff(seen[order], prepend=-1))[0]
+        back, used = np.add.reduceat(gates[order], first), seen[order[first]]
+        grad["emb"][used] = back @ self.wx.T
+        grad["wx"] += self.emb[used].T @ back
+        return grad, h
+
+    def train(self, stream: np.ndarray, rate: float = RATE) -> int:
+        """Adagrad over a stream of word numbers in `LANES` lanes, the state carried along each lane."""
+        x, y = self.lanes(stream)
+        if x.shape[1] < 2:
+            return 0
+        h = np.zeros((LANES, HIDDEN), np.float32)
+        for at in range(0, x.shape[1], STEPS):
+            grad, h = self.gradients(x[:, at : at + STEPS], y[:, at : at + STEPS], h)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             scale = min(1.0, 1.0 / max(norm, 1e-9))
             for name, g in grad.items():
@@ -177,7 +204,7 @@ class Network:
                 s = self.squares[name]
                 s += g * g
                 getattr(self, name)[...] -= rate * g / np.sqrt(s)
-        return length * LANES
+        return x.size
 
     def fresh_squares(self) -> None:
         self.squares = {n: np.full_like(getattr(self, n), 1e-4) for n in self.NAMES}
@@ -193,10 +220,6 @@ class Vocabulary:
     distinct: int  # V
     outside: float  # smoothed mass of the words that are not in the shortlist, the unseen one included
 
-    def stream(self, text: bytes) -> list[int]:
-        get = self.number.get
-        return [*[get(w, 0) for w in words(text)], self.number[END]]
-
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -226,129 +249,167 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.filter("NOT held_out").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, Network]:
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Network]:
+    """The words' counts and numbers, and a network that has learned nothing but their shares."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n or 0, total.v
-    heavy = {bytes(r.word): r.n for r in counts.filter(F.col("n") * HEAVY >= F.lit(tokens)).collect()}
+    heavy = {bytes(r.word): r.n for r in counts.filter(F.col("n") * HEAVY >= F.lit(tokens)).collect()}  # at most HEAVY rows
     listed = [END, *sorted((w for w in heavy if w != END), key=lambda w: (-heavy[w], w))[: SHORTLIST - 2]]
     number = {w: k + 1 for k, w in enumerate(listed)}
     outside = tokens + distinct + 1 - sum(heavy.get(w, 0) + 1 for w in listed)
     v = Vocabulary(heavy, number, tokens, distinct, float(outside))
     net = Network(np.array([outside, *[heavy.get(w, 0) for w in listed]], np.float64))
     net.end = number[END]
-    net.fresh_squares()
-    training = docs.filter("NOT held_out")
-    warm = training.filter(F.length("text") <= WARM_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCUMENTS).collect()
-    if warm:
-        stream = np.array([w for r in warm for w in v.stream(r.text.encode())])
-        for rate in (RATE, RATE / 2):
-            net.train(stream, rate)
-    first = net.flat()
+    return v, net
+
+
+def numbered(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(doc_id, hash, held_out, stream, known, base, extra, rare, times): a text's numbers in the network, its last
+    one the end's; how many of its tokens are heavy, their part of the base score, and what the shares of words
+    outside the shortlist add to the network's; and its other words, each once, with how often they are there."""
+    whole = np.log10(v.tokens + v.distinct + 1)
+    shift = whole - np.log10(v.outside) if v.outside > 0 else 0.0
+    words_ = [END, *(w for w in v.heavy if w != END)]
+    place = {w: k for k, w in enumerate(words_)}
+    number = np.array([v.number.get(w, 0) for w in words_] + [0], np.int16)  # the last: any other word
+    log = np.array([np.log10(v.heavy.get(w, 0) + 1) for w in words_] + [0.0])
+    types = {"doc_id": pa.int64(), "hash": pa.int64(), "held_out": pa.bool_(), "stream": pa.binary(), "known": pa.int64(), "base": pa.float64(), "extra": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, stream = 0, []
-        net.load(first)
-        net.fresh_squares()
         for batch in batches:
-            for _, texts in slices(batch):
-                for t in texts:
-                    stream += v.stream(t)
-                    if len(stream) >= LANES * STEPS * 40:
-                        seen += net.train(np.array(stream))
-                        stream = []
-        seen += net.train(np.array(stream))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(net.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["n", "w"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sums = 0, 0.0
+            for rows, texts in slices(batch):
+                out: dict[str, list] = {k: [] for k in types}
+                for text in texts:
+                    ws = [*words(text), END]
+                    at = np.fromiter(map(place.get, ws, repeat(-1)), np.int32, len(ws))
+                    stream, logs = number[at], log[at]
+                    rare = Counter([ws[k] for k in np.nonzero(at < 0)[0].tolist()])
+                    outside = int((stream == 0).sum())
+                    out["hash"].append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                    out["stream"].append(stream.tobytes())
+                    out["known"].append(int((at >= 0).sum()) if v.tokens else 0)
+                    out["base"].append(float(logs.sum()) - len(ws) * whole)
+                    out["extra"].append(float(logs[stream == 0].sum()) - outside * (whole - shift))
+                    out["rare"].append(list(rare))
+                    out["times"].append(list(rare.values()))
+                out["doc_id"], out["held_out"] = rows.column(0), rows.column(2)
+                yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) if isinstance(out[c], list) else out[c] for c in types], list(types))
+
+    return docs.mapInArrow(run, "doc_id long, hash long, held_out boolean, stream binary, known long, base double, extra double, rare array<binary>, times array<long>")
+
+
+def learn(texts: DataFrame, tokens: int, net: Network) -> None:
+    """Trains the network on all streams that are not held out."""
+    shards = max(1, round(tokens / SHARD))
+    dealt = texts.filter("NOT held_out").select(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(shards)).alias("shard"), "doc_id", "hash", "stream")
+    schema = "shard long, n long, w binary"
+
+    def trained(rows: DataFrame, parts: int) -> DataFrame:
+        first = net.flat()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, seen, held, size = None, 0, [], 0
+
+            def flush() -> None:
+                nonlocal seen, held, size
+                if held:
+                    seen += net.train(np.concatenate(held).astype(np.int64))
+                held, size = [], 0
+
+            def done() -> pa.RecordBatch:
+                flush()
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([seen], pa.int64()), pa.array([(net.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["shard", "n", "w"])
+
+            for batch in batches:
+                for shard, stream in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if shard != now:
+                        if now is not None:
+                            yield done()
+                        now, seen = shard, 0
+                        net.load(first)
+                        net.fresh_squares()
+                    held.append(np.frombuffer(stream.as_buffer(), np.int16))
+                    size += len(held[-1])
+                    if size >= LANES * STEPS * WINDOWS:
+                        flush()
+            if now is not None:
+                yield done()
+
+        return rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "hash").select("shard", "stream").mapInArrow(run, schema)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of consecutive rows of one shard, in order."""
+        now, seen, sums = None, 0, 0.0
         for batch in batches:
-            for n, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for group, n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if group != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["shard", "n", "w"])
+                    now, seen, sums = group, 0, 0.0
                 seen, sums = seen + n, sums + np.frombuffer(w.as_buffer())
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["shard", "n", "w"])
+
+    def take(rows: list) -> None:
+        seen = sum(r.n for r in rows)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "w"])
+            net.load(sum(np.frombuffer(r.w) for r in sorted(rows, key=lambda r: r.shard)) / seen)
 
-    part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(FRACTION)) == 0).select("text")
-    found = part.mapInArrow(run, "n long, w binary").repartition(8).mapInArrow(add, "n long, w binary").collect()  # eight rows at most
-    seen = sum(r.n for r in found)
-    net.load(sum(np.frombuffer(r.w) for r in found) / seen if seen else first)
-    return v, net
+    spark = texts.sparkSession
+    with few_rows(spark, 256):
+        take(trained(dealt.filter("shard = 0"), 1).collect())
+        if shards > 1:
+            copies, left = trained(dealt, min(shards, 1 << 16)), shards
+            while left > TOGETHER:
+                left = -(-left // TOGETHER)
+                group = copies.select(F.floor(F.col("shard") / TOGETHER).alias("g"), "shard", "n", "w").repartition(left, "g").sortWithinPartitions("g", "shard")
+                copies = group.select(F.col("g").alias("shard"), "n", "w").mapInArrow(added, schema)
+            take(copies.collect())  # at most TOGETHER rows of the network's size
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row. Learns from the
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row. Learns from all
     documents whose fold, crc32 of the id modulo 7, is not 2.
 
     A text's tokens are its words and one end. base_score: add-one unigram; score: the network; both log10 of
     the text's probability. Null and empty texts are an end alone. A row without an id is learned from.
-    Repeated rows count and are scored each. Very long texts are scored whole. With no training documents
-    every word is unseen. Other columns are ignored.
+    Repeated rows count and are scored each, and rows of equal texts have equal scores. Very long texts are
+    learned from and scored whole. Words of equal counts are numbered in their own order. With no training
+    documents every word is unseen; an empty table gives an empty table. Other columns are ignored.
     """
     scratch = Scratch(df.sparkSession)
     docs = texts_of(df, id_col, text_col)
     counts = scratch.write(count_words(docs), "counts")
-    v, net = learn(docs, counts)
+    v, net = vocabulary(counts)
     if v.tokens == 0:
         v.number = {END: 1}
-    tokens, whole = v.tokens, np.log10(v.tokens + v.distinct + 1)
-    shift = whole - np.log10(v.outside) if v.outside > 0 else 0.0
-    light = {w: (np.log10(n + 1), v.number.get(w, 0)) for w, n in v.heavy.items()}
-    light.setdefault(END, (np.log10(v.heavy.get(END, 0) + 1), v.number[END]))
+    texts = scratch.write(numbered(docs, v), "texts")
+    learn(texts, v.tokens, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each document (null word), and a row for each of its words that is not heavy."""
         for batch in batches:
-            for rows, texts in slices(batch):
-                ids, held = rows.column(0).to_pylist(), rows.column(2).to_pylist()
-                out: dict[str, list] = {k: [] for k in ("doc_id", "hash", "held_out", "word", "times", "n_tokens", "known", "base", "score")}
-                streams = []
-                for k, text in enumerate(texts):
-                    ws = words(text)
-                    base, extra, known = 0.0, 0.0, 0
-                    rare: dict[bytes, int] = {}
-                    stream = []
-                    for w in (*ws, END):
-                        got = light.get(w)
-                        if got is None:
-                            rare[w] = rare.get(w, 0) + 1
-                            stream.append(0)
-                        else:
-                            base += got[0]
-                            known += 1
-                            stream.append(got[1])
-                            if got[1] == 0:
-                                extra += got[0]
-                    streams.append(np.array(stream))
-                    h, n = xxhash.xxh3_64_intdigest(text) - (1 << 63), len(rare) + 1
-                    unlisted = stream.count(0)
-                    out["doc_id"] += [ids[k]] * n
-                    out["hash"] += [h] * n
-                    out["held_out"] += [held[k]] * n
-                    out["word"] += [None, *rare]
-                    out["times"] += [1, *rare.values()]
-                    out["n_tokens"] += [len(stream)] + [0] * (n - 1)
-                    out["known"] += [known if tokens else 0] + [0] * (n - 1)
-                    out["base"] += [base - len(stream) * whole] + [0.0] * (n - 1)
-                    out["score"] += [extra - unlisted * whole + unlisted * shift] + [0.0] * (n - 1)
-                scores = net.score(streams) / np.log(10)
-                at = -1
-                for k, w in enumerate(out["word"]):
-                    if w is None:
-                        at += 1
-                        out["score"][k] += scores[at]
-                types = {"doc_id": pa.int64(), "hash": pa.int64(), "held_out": pa.bool_(), "word": pa.binary(), "times": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-                yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) for c in types], list(types))
-
-    parts = docs.mapInArrow(run, "doc_id long, hash long, held_out boolean, word binary, times long, n_tokens long, known long, base double, score double")
-    spread = scratch.write(parts, "parts")
-    sums = spread.filter("word IS NULL").select("doc_id", "hash", "held_out", F.lit(1).alias("copies"), "n_tokens", "known", "base", "score")
-    rare = counts.filter(F.col("n") * HEAVY < F.lit(tokens))
+            streams = [np.frombuffer(x.as_buffer(), np.int16) for x in batch.column(3)]
+            ends = np.cumsum([len(x) for x in streams])
+            start = 0
+            while start < len(streams):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SCORED, side="right")))
+                rows, own = batch.slice(start, stop - start), streams[start:stop]
+                score = net.score(own) / np.log(10) + rows.column(6).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(3)), pa.array([len(x) for x in own], pa.int64()), rows.column(4), rows.column(5), pa.array(score)], ["doc_id", "hash", "held_out", "n_tokens", "known", "base", "score"])
+                start = stop
+
+    names = ("doc_id", "hash", "held_out")
+    scored = texts.select(*names, "stream", "known", "base", "extra").mapInArrow(run, "doc_id long, hash long, held_out boolean, n_tokens long, known long, base double, score double")
+    sums = scored.select(*names, F.lit(1).cast("long").alias("copies"), "n_tokens", "known", "base", "score")
+    each_word = texts.select(*names, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(*names, F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rare = counts.filter(F.col("n") * HEAVY < F.lit(v.tokens))
     part = F.col("times") * F.log10(F.col("n") + 1)
-    joined = spread.filter("word IS NOT NULL").join(rare, "word").select("doc_id", "hash", "held_out", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.col("times").alias("known"), part.alias("base"), part.alias("score"))
-    total = sums.union(joined).groupBy("doc_id", "hash", "held_out").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "known", "base", "score")])
+    zero = F.lit(0).cast("long")
+    joined = each_word.join(rare, "word").select(*names, zero.alias("copies"), zero.alias("n_tokens"), F.col("times").alias("known"), part.alias("base"), part.alias("score"))
+    total = sums.union(joined).groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "known", "base", "score")])
     each = lambda c: F.col(c) / F.col("copies")
     one = total.select(
-        "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         each("base").alias("base_score"), each("score").alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
     )
     return one.drop("_copy")
