@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import Scratch, crc_mod, few_rows, slices, words
 
 FOLDS, HELD = 7, 2
-HEAVY = 1 << 17
+HEAVY = 1 << 18
 SHORTLIST, CLASSES, HIDDEN = 1024, 32, 24
 STEPS, LANES, RATE = 24, 256, 0.05
 SHARD, TOGETHER = 2_000_000, 64  # tokens of a shard; copies added up at a time
@@ -43,12 +43,21 @@ END = b""  # the token at a text's end; no word is empty
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
+def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's softmax at one place."""
+    x -= x.max(-1, keepdims=True)
+    chosen = x[np.arange(len(x)), at]
+    return chosen - np.log(np.exp(x, out=x).sum(-1))
 
 
 class Network:
@@ -91,14 +100,14 @@ class Network:
 
     def log_probability(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability after the states."""
-        kind = word // self.size
-        out = log_softmax(h @ self.wc + self.bc)[np.arange(len(word)), kind].astype(np.float64)
+        kind = (word // self.size).astype(np.int16)
+        out = log_share(h @ self.wc + self.bc, kind).astype(np.float64)
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
-                out[rows] += log_softmax(h[rows] @ self.ww[c] + self.bw[c])[np.arange(len(rows)), word[rows] - c * self.size]
+                out[rows] += log_share(h[rows] @ self.ww[c] + self.bw[c], word[rows] - c * self.size)
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -151,8 +160,8 @@ class Network:
             h = new
         grad = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         hs, word = np.concatenate([t[4] for t in trace]), y.T.ravel()
-        n, kind = len(word), word // self.size
-        p = np.exp(log_softmax(hs @ self.wc + self.bc))
+        n, kind = len(word), (word // self.size).astype(np.int16)
+        p = softmax(hs @ self.wc + self.bc)
         p[np.arange(n), kind] -= 1
         p /= n
         grad["wc"], grad["bc"] = hs.T @ p, p.sum(0)
@@ -162,7 +171,7 @@ class Network:
         for c in range(CLASSES):
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
-                q = np.exp(log_softmax(hs[rows] @ self.ww[c] + self.bw[c]))
+                q = softmax(hs[rows] @ self.ww[c] + self.bw[c])
                 q[np.arange(len(rows)), word[rows] - c * self.size] -= 1
                 q /= n
                 grad["ww"][c], grad["bw"][c] = hs[rows].T @ q, q.sum(0)
@@ -179,11 +188,11 @@ class Network:
             grad["wh"][:, : 2 * hid] += before.T @ gates[:, : 2 * hid]
             grad["wh"][:, 2 * hid :] += (r * before).T @ dc
             dh = dh * (1 - z) + back * r + gates[:, : 2 * hid] @ self.wh[:, : 2 * hid].T
-        gates, seen = np.concatenate(all_gates), xs[::-1].ravel()
+        gates, seen = np.concatenate(all_gates), xs[::-1].ravel().astype(np.int16)
         grad["b"] += gates.sum(0)
         # By word: what goes back to an input is the same product for all places of the word.
         order = np.argsort(seen, kind="stable")
-        first = np.nonzero(np.diff(seen[order], prepend=-1))[0]
+        first = np.nonzero(np.diff(seen[order], prepend=np.int16(-1)))[0]
         back, used = np.add.reduceat(gates[order], first), seen[order[first]]
         grad["emb"][used] = back @ self.wx.T
         grad["wx"] += self.emb[used].T @ back
