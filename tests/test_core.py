@@ -54,7 +54,7 @@ def test_first_rule_counts_once(spark):
 
 def test_reach_must_fit_gap(spark):
     with pytest.raises(ValueError):
-        trips.build_trips(None, None, gap_hours=4, reach_hours=3)
+        trips.Knobs(gap_hours=4, reach_hours=3).check()
 
 
 @pytest.mark.parametrize("name", ["filter_stats", "bucket_keys_p6", "salted_hashes", "sessionize", "infer_anchors", "in_labels", "grid"])

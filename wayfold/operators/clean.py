@@ -17,26 +17,28 @@ def drop_missing_timestamp(df: DataFrame) -> DataFrame:
     return df.filter(F.col("utc_epoch").isNotNull())
 
 
+def _rank(*keys: str) -> F.Column:
+    """A burst member's place among its burst: its pick, then the earliest, then the smallest id. A photo without a
+    burst is one of its own, so that such photos never meet in one window partition."""
+    alone = F.when(F.col("burst_id").isNull(), F.col("asset_id"))
+    w = Window.partitionBy(*OWNER, "burst_id", alone, *keys).orderBy(F.desc("is_burst_pick"), F.asc_nulls_last("utc_epoch"), "asset_id")
+    return F.when(F.col("burst_id").isNotNull(), F.row_number().over(w)).otherwise(1)
+
+
 def with_rule(df: DataFrame) -> DataFrame:
-    """Adds `rule`, the first that drops the row, or null. Bursts are ranked among what the earlier rules
-    leave; a burst's best row is its pick, then the earliest, then the smallest id."""
+    """Adds `rule`, the first that drops the row, or null. Bursts are ranked among what the earlier rules leave."""
     early = F.when(F.col("is_screenshot"), RULES[0]).when(F.col("utc_epoch").isNull(), RULES[1])
-    w = Window.partitionBy(*OWNER, "burst_id", "early").orderBy(F.desc("is_burst_pick"), F.asc_nulls_last("utc_epoch"), "asset_id")
-    burst = F.col("early").isNull() & F.col("burst_id").isNotNull()
-    alone = df.withColumn("early", early)
-    # Only burst members are ranked: rows without a burst would all be one window partition.
-    ranked = alone.filter(burst).withColumn("rule", F.when(F.row_number().over(w) > 1, RULES[2]))
-    return ranked.unionByName(alone.filter(~burst).withColumn("rule", F.col("early"))).drop("early")
+    marked = df.withColumn("_early", early).withColumn("_rank", _rank("_early"))
+    return marked.withColumn("rule", F.coalesce("_early", F.when(F.col("_rank") > 1, RULES[2]))).drop("_early", "_rank")
 
 
 def collapse_bursts(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*OWNER, "burst_id").orderBy(F.desc("is_burst_pick"), F.asc_nulls_last("utc_epoch"), "asset_id")
-    best = df.filter("burst_id IS NOT NULL").withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
-    return best.unionByName(df.filter("burst_id IS NULL"))
+    return df.withColumn("_rank", _rank()).filter("_rank = 1").drop("_rank")
 
 
 def clean(df: DataFrame) -> DataFrame:
-    return with_rule(df).filter("rule IS NULL").drop("rule")
+    kept = df.filter("NOT is_screenshot AND utc_epoch IS NOT NULL")  # the first two rules, as far down as the scan
+    return collapse_bursts(kept)
 
 
 def filter_stats(df: DataFrame) -> DataFrame:

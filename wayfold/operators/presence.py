@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.cells import neighbourhood, own_keys, salted, with_key
+from wayfold.operators.cells import CELL, PRECISION, named, neighbourhood, own_cells, salted, with_cell
 
 
 def match(hashes_a: DataFrame, hashes_b: DataFrame) -> DataFrame:
@@ -13,19 +13,24 @@ def match(hashes_a: DataFrame, hashes_b: DataFrame) -> DataFrame:
     for side in (hashes_a, hashes_b):
         if set(side.columns) != {"couple_id", "hash"}:
             raise ValueError("matching sees couple_id and hash alone")
-    return hashes_a.distinct().join(hashes_b.distinct(), ["couple_id", "hash"], "left_semi")
+    return hashes_a.join(hashes_b, ["couple_id", "hash"], "left_semi").distinct()
 
 
-def matched_keys(photos: DataFrame, salt: bytes, precision: int = 6) -> DataFrame:
-    """Partner a's keys, widened by their neighbourhood, that b has too."""
-    own = salted(own_keys(photos.filter("person = 'a'"), True, precision), salt)
-    raw = salted(own_keys(photos.filter("person = 'b'"), False, precision), salt)
-    found = match(own.select("couple_id", "hash"), raw.select("couple_id", "hash"))
-    return own.join(found, ["couple_id", "hash"], "left_semi").drop("hash")
+def hashes(photos: DataFrame, person: str, salt: bytes, precision: int = PRECISION) -> DataFrame:
+    """(couple_id, x, y, hour_index, geohash, hash) of one partner's keys; a's are widened by their neighbourhood."""
+    return salted(named(own_cells(photos.filter(F.col("person") == person), person == "a", precision), precision), salt)
+
+
+def matched_keys(photos: DataFrame, salt: bytes, precision: int = PRECISION) -> DataFrame:
+    """Partner a's keys, widened, that b has too: a's hashes that are among b's, and on a's side the keys that
+    they stand for. Nothing of b's but hashes is looked at, and a's keys are made once."""
+    theirs = hashes(photos, "b", salt, precision).select("couple_id", "hash")
+    return hashes(photos, "a", salt, precision).join(theirs, ["couple_id", "hash"], "left_semi").select("couple_id", "x", "y", "geohash", "hour_index").distinct()
 
 
 def matched_photos(photos: DataFrame, keys: DataFrame, expanded: bool) -> DataFrame:
-    """Photos whose cell, or with `expanded` whose neighbourhood, holds a matched key; each once."""
-    placed = with_key(photos).select("couple_id", "person", "asset_id", "x", "y", "hour_index")
-    wide = neighbourhood(placed) if expanded else placed.withColumn("geohash", F.lit(""))
-    return wide.join(keys.select("couple_id", "x", "y", "hour_index"), ["couple_id", "x", "y", "hour_index"], "left_semi").select("couple_id", "person", "asset_id").distinct()
+    """Photos whose cell, or with `expanded` whose neighbourhood, holds a matched key; each once. The few matched keys
+    are widened, not the photos: a neighbourhood is the same seen from either side."""
+    cells = keys.select(*CELL)
+    wide = neighbourhood(cells).distinct() if expanded else cells.distinct()
+    return with_cell(photos).join(wide, list(CELL), "left_semi").select("couple_id", "person", "asset_id")

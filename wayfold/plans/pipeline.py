@@ -1,13 +1,17 @@
-"""The pipeline from events to scored trips, for all couples at once."""
+"""The pipeline from photos to scored trips, for all couples at once."""
 
 from __future__ import annotations
 
+from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import anchors, cells, clean, presence, score, trips
+from wayfold.functions import exprs as E
+from wayfold.functions.tables import Steps
+from wayfold.operators import anchors, clean, homes, presence, score, trips
+from wayfold.operators.trips import Knobs
 from wayfold.sources import photos as source
 
 
@@ -15,21 +19,44 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean(source.photos(spark, sf_dir))
 
 
-def trips_of(photos: DataFrame, precision: int = 6, **knobs) -> DataFrame:
-    photos = photos.cache()  # read by anchors, keys, gaps and back-filling
-    pairs = anchors.couples(anchors.infer_anchors(photos)).cache()
-    keys = presence.matched_keys(photos, cells.TEST_SALT, precision).cache()
-    if precision != 6:  # trips judge keys by cells of six characters, the coarse or fine cell's middle
-        lat, lon = (F.expr(e) for e in cells.E.centre("x", "y", precision))
-        x, y = cells.E.cell("_lat", "_lon", 6)
-        keys = keys.withColumns({"_lat": lat, "_lon": lon}).withColumns({"x": F.expr(x), "y": F.expr(y)}).drop("_lat", "_lon")
-    return trips.assemble(photos, keys, pairs, **knobs)
+def centred(keys: DataFrame, precision: int) -> DataFrame:
+    """Keys with the middle of their own cell, by which they are judged."""
+    lat, lon = E.centre("x", "y", precision)
+    return keys.withColumns({"c_lat": F.expr(lat), "c_lon": F.expr(lon)}).drop("x", "y")
 
 
-def sweep(photos: DataFrame, labels: DataFrame, points: list[dict]) -> DataFrame:
-    """One row of scores for each point; a point is a row of `score.grid`."""
-    rows = []
+def settings_of(photos: DataFrame, found: DataFrame, past_homes: bool) -> DataFrame:
+    """Both partners' homes over time, from anchors (see `homes.settings`); without past homes, one setting."""
+    pairs = anchors.couples(found)
+    return homes.settings(homes.home_eras(photos, found), pairs) if past_homes else homes.always(pairs)
+
+
+def trips_of(photos: DataFrame, salt: bytes, precision: int = 6, knobs: Knobs = Knobs(), past_homes: bool = True, found: DataFrame | None = None) -> DataFrame:
+    """Trips and old-home days of all couples. found: anchors, if they are not to be inferred; with a column
+    `shared_home` (null: by distance) to override whether partners share a home."""
+    knobs.check()
+    steps = Steps(photos.sparkSession)
+    photos = steps.write(photos, "photos")  # read by anchors, keys, gaps and back-filling
+    found = steps.write(anchors.infer_anchors(photos) if found is None else found, "anchors")
+    keys = centred(presence.matched_keys(photos, salt, precision), precision)
+    return trips.assemble(photos, keys, settings_of(photos, found, past_homes), knobs)
+
+
+def sweep(photos: DataFrame, labels: DataFrame, salt: bytes, points: list[dict], found: DataFrame | None = None) -> DataFrame:
+    """One row of scores for each point; a point is a row of `score.grid`. All points are one query: keys are matched once
+    for each precision, and from there on `point` is a key beside the couple. Old-home days are not scored."""
     for p in points:
-        found = trips_of(photos, p["geohash_precision"], gap_hours=p["gap_hours"], min_photos=p["min_photos"], city_km=p["city_km"], silence_hours=p["max_silence_hours"], tail_gap_hours=p["tail_gap_hours"]).cache()
-        rows.append(score.evaluate(found, labels).select(F.lit(p["point"]).alias("point"), "*"))
-    return reduce(DataFrame.union, rows)
+        Knobs(**{f.name: p[f.name] for f in fields(Knobs) if f.name in p}).check()
+    spark, steps = photos.sparkSession, Steps(photos.sparkSession)
+    photos, labels = steps.write(photos, "photos"), steps.write(labels, "labels")
+    found = steps.write(anchors.infer_anchors(photos) if found is None else found, "anchors")
+    precisions = sorted({p["geohash_precision"] for p in points})
+    keys = reduce(DataFrame.union, [centred(presence.matched_keys(photos, salt, p), p).withColumn("geohash_precision", F.lit(p)) for p in precisions])
+    keys = steps.write(keys, "keys")
+    grid = spark.createDataFrame([tuple(p[c] for c in score.POINT) for p in points], score.POINT_SCHEMA)
+    parts = []
+    for past in sorted({p["past_homes"] for p in points}):
+        mine = keys.join(F.broadcast(grid.filter(F.col("past_homes") == past)), "geohash_precision").drop("geohash_precision", "past_homes")
+        parts.append(trips.assemble(photos, mine, settings_of(photos, found, past), by=("point", "couple_id")))
+    scored = steps.write(reduce(DataFrame.union, parts).filter("kind = 'trip'"), "scored")
+    return score.evaluate_points(scored, labels, grid)

@@ -23,14 +23,14 @@ def check_header(df: DataFrame, columns: tuple[str, ...] = tuple(PHOTO_SCHEMA.na
 
 
 def _typed(field: T.StructField) -> F.Column:
-    raw = F.nullif(F.trim(F.col(field.name)), F.lit(""))
+    raw = F.nullif(F.col(field.name), F.lit(""))  # text cells keep their blanks
     if isinstance(field.dataType, T.BooleanType):
-        low = F.lower(F.coalesce(raw, F.lit("0")))
+        low = F.lower(F.coalesce(F.nullif(F.trim(F.col(field.name)), F.lit("")), F.lit("0")))
         bad = F.raise_error(F.concat(F.lit(f"bad boolean in {field.name}: "), low)).cast("boolean")
         return F.when(low.isin("1", "true"), True).when(low.isin("0", "false"), False).otherwise(bad)
     if field.name == "asset_id":
         return F.when(raw.isNull(), F.raise_error(F.lit("empty asset_id"))).otherwise(raw)
-    return raw.cast(field.dataType)
+    return raw if isinstance(field.dataType, T.StringType) else F.trim(raw).cast(field.dataType)
 
 
 def read_photos_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +62,11 @@ def read_photos_parquet(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[(F.nanvl(F.col(f.name), F.lit(None).cast("double")) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).cast(f.dataType)).alias(f.name) for f in PHOTO_SCHEMA])
 
 
+def write_photos_parquet(df: DataFrame, path: str) -> None:
+    """The pinned columns and types, in order."""
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PHOTO_SCHEMA]).write.parquet(path)
+
+
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
     check_header(raw, LABEL_COLUMNS)
