@@ -42,7 +42,7 @@ BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: A set that at least this part of all documents have is one of at most HOT, which go to every task.
 HOT = 4096
 #: Pairs and rows with whole sets that are handed to Python at a time.
-ROWS_WITH_SETS = 1000
+ROWS_WITH_SETS = 250
 
 _rng = np.random.default_rng(20)
 _POWERS = _rng.integers(1, 1 << 62, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
