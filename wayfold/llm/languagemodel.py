@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import Scratch, crc_mod, few_rows, slices, words
 
 FOLDS, HELD = 7, 2
-HEAVY = 1 << 18
+HEAVY = 1 << 19
 SHORTLIST, CLASSES, HIDDEN = 1024, 32, 24
 STEPS, LANES, RATE = 24, 256, 0.05
 SHARD, TOGETHER = 2_000_000, 64  # tokens of a shard; copies added up at a time
-FLUSH = 200_000
+FLUSH = 600_000
 #: Tokens that are scored at a time, and windows of tokens that are trained on at a time.
 SCORED, WINDOWS = 1 << 24, 40
 END = b""  # the token at a text's end; no word is empty
@@ -176,7 +176,7 @@ class Network:
                 q /= n
                 grad["ww"][c], grad["bw"][c] = hs[rows].T @ q, q.sum(0)
                 dh_out[rows] += q @ self.ww[c].T
-        dh, all_gates = np.zeros_like(h), []
+        dh, all_gates, befores, resets = np.zeros_like(h), [], [], []
         for s in range(len(xs) - 1, -1, -1):
             before, z, r, c, _ = trace[s]
             dh = dh + dh_out[s * LANES : (s + 1) * LANES]
@@ -185,11 +185,13 @@ class Network:
             dz, dr = dh * (c - before) * z * (1 - z), back * before * r * (1 - r)
             gates = np.concatenate([dz, dr, dc], 1)
             all_gates.append(gates)
-            grad["wh"][:, : 2 * hid] += before.T @ gates[:, : 2 * hid]
-            grad["wh"][:, 2 * hid :] += (r * before).T @ dc
+            befores.append(before)
+            resets.append(r * before)
             dh = dh * (1 - z) + back * r + gates[:, : 2 * hid] @ self.wh[:, : 2 * hid].T
         gates, seen = np.concatenate(all_gates), xs[::-1].ravel().astype(np.int16)
         grad["b"] += gates.sum(0)
+        grad["wh"][:, : 2 * hid] = np.concatenate(befores).T @ gates[:, : 2 * hid]
+        grad["wh"][:, 2 * hid :] = np.concatenate(resets).T @ gates[:, 2 * hid :]
         # By word: what goes back to an input is the same product for all places of the word.
         order = np.argsort(seen, kind="stable")
         first = np.nonzero(np.diff(seen[order], prepend=np.int16(-1)))[0]
@@ -262,7 +264,8 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Network]:
     """The words' counts and numbers, and a network that has learned nothing but their shares."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n or 0, total.v
-    heavy = {bytes(r.word): r.n for r in counts.filter(F.col("n") * HEAVY >= F.lit(tokens)).collect()}  # at most HEAVY rows
+    rows = counts.filter(F.col("n") * HEAVY >= F.lit(tokens)).select("word", "n").toArrow()  # at most HEAVY rows
+    heavy = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
     listed = [END, *sorted((w for w in heavy if w != END), key=lambda w: (-heavy[w], w))[: SHORTLIST - 2]]
     number = {w: k + 1 for k, w in enumerate(listed)}
     outside = tokens + distinct + 1 - sum(heavy.get(w, 0) + 1 for w in listed)
