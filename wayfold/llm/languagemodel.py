@@ -43,7 +43,12 @@ END = b""  # the token at a text's end; no word is empty
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -92,11 +97,17 @@ class Network:
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One token: (new state, update, reset, candidate). x: inputs already times wx, plus b."""
         k = HIDDEN
-        g = h @ self.wh[:, : 2 * k]
-        zr = sigmoid(x[:, : 2 * k] + g)
+        zr = h @ self.wh[:, : 2 * k]
+        zr += x[:, : 2 * k]
+        sigmoid(zr)
         z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(x[:, 2 * k :] + (r * h) @ self.wh[:, 2 * k :])
-        return h + z * (c - h), z, r, c
+        c = (r * h) @ self.wh[:, 2 * k :]
+        c += x[:, 2 * k :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c
 
     def log_probability(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability after the states."""
