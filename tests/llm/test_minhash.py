@@ -2,7 +2,10 @@
 
 import random
 
-from wayfold.llm.minhash import near_duplicates, shingle_sets, similar
+import numpy as np
+
+from wayfold.llm import minhash
+from wayfold.llm.minhash import near_duplicates, settled, shingle_sets, similar
 
 
 def brute(rows):
@@ -51,3 +54,27 @@ def test_blocks_compare_as_sets_do():
     got = similar(sets, sets, 75, columns=64)
     want = [[100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for b in sets] for a in sets]
     assert got.tolist() == want
+
+
+def open_buckets(spark, size):
+    """One bucket of `size` sets, each its own component; sets 4k and 4k + 1 are near."""
+    rng = random.Random(size)
+    sets = [set(rng.sample(range(10**9), 40)) for _ in range(size)]
+    for k in range(0, size - 1, 4):
+        sets[k + 1] = set(sorted(sets[k])[2:]) | {10**9 + k}
+    rest = spark.createDataFrame([(7, k, len(s), k) for k, s in enumerate(sets)], "bucket long, doc_id long, n long, component long")
+    packed = spark.createDataFrame([(k, len(s), bytearray(np.array(sorted(s), np.uint64).tobytes())) for k, s in enumerate(sets)], "doc_id long, n long, shingles binary")
+    return rest, packed, {(k, k + 1) for k in range(0, size - 1, 4)}
+
+
+def test_rows_of_an_open_group_do_not_grow_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    small, large = (minhash.dealt(open_buckets(spark, n)[0], 75).count() for n in (256, 4096))
+    assert large <= 65 * small  # 16 times the members: 64 times the rows by blocks of a square root, 256 by fixed ones
+
+
+def test_pairs_of_blocks_find_all_links(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "AT_ONCE", 8)
+    rest, sets, links = open_buckets(spark, 150)
+    assert {tuple(r) for r in settled(rest, sets, 75).collect()} == links
