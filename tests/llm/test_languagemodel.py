@@ -1,11 +1,15 @@
 """Base scores and counts against brute force, the model against the base, and the edge cases."""
 
 import math
+import platform
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from wayfold.llm.common import words
 from wayfold.llm.languagemodel import Network, score_texts
@@ -83,3 +87,44 @@ def test_gradients_against_differences():
         down = loss_of(net)
         x.flat[k] = before
         assert abs((up - down) / (2 * step) - g.flat[k]) < 0.05 * abs(g.flat[k]) + 1e-4, name
+
+
+def test_scores_against_a_plain_recurrence():
+    """Texts of many lengths side by side, with small weights and with some whose exponentials overflow."""
+    import wayfold.llm.languagemodel as L
+
+    rng = np.random.default_rng(5)
+    for large in (1, 400):
+        net = Network(np.arange(1, 71, dtype=float))
+        net.end, net.wc, net.ww = 1, net.wc * large, net.ww * large
+        texts = [np.append(rng.integers(0, 70, n), 1).astype(np.int16) for n in [0, 1, 2, 60, *rng.integers(0, 40, 700)]]
+        got, k = net.score(texts), L.HIDDEN
+        for t in [*range(6), 700]:
+            h, before, want = np.zeros(k), net.end, 0.0
+            for w in texts[t]:
+                x = net.emb[before].astype(float) @ net.wx + net.b
+                z, r = (1 / (1 + np.exp(-(x[: 2 * k] + h @ net.wh[:, : 2 * k])))).reshape(2, k)
+                h = (1 - z) * h + z * np.tanh(x[2 * k :] + (r * h) @ net.wh[:, 2 * k :])
+                for out, at in ((h @ net.wc + net.bc, w // net.size), (h @ net.ww[w // net.size] + net.bw[w // net.size], w % net.size)):
+                    want += out[at] - out.max() - np.log(np.exp(out - out.max()).sum())
+                before = w
+            assert abs(got[t] - want) < 1e-3 * max(1, -want), (large, t)
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="other C libraries are left as they are")
+def test_training_does_not_map_its_arrays_anew():
+    """Once warm, a pass over a stream clears few pages; it cleared some 1,100 for each window of tokens."""
+    code = """
+import resource, numpy as np, wayfold.llm.languagemodel as L
+keep = getattr(L, "keep_freed", None)
+if keep: keep()
+net = L.Network(np.arange(1, 1025, dtype=float))
+net.fresh_squares()
+stream = np.random.default_rng(1).integers(0, 1024, L.LANES * L.STEPS * 12 + 1)
+for _ in range(3):
+    before = resource.getrusage(0).ru_minflt
+    net.train(stream)
+print(resource.getrusage(0).ru_minflt - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 12 * 200, done.stdout

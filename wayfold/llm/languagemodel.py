@@ -18,56 +18,58 @@ meet their counts in a join by word; only sums by document come back.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Scratch, crc_mod, few_rows, slices, words
+from wayfold.llm.common import Scratch, crc_mod, few_rows, keep_freed, slices, words
 
 FOLDS, HELD = 7, 2
 HEAVY = 1 << 19
 SHORTLIST, CLASSES, HIDDEN = 1024, 32, 24
 STEPS, LANES, RATE = 24, 256, 0.05
 SHARD, TOGETHER = 2_000_000, 64  # tokens of a shard; copies added up at a time
-FLUSH = 600_000
+FLUSH = 48 << 20  # bytes of words counted at a time
 #: Tokens that are scored at a time, and windows of tokens that are trained on at a time.
 SCORED, WINDOWS = 1 << 24, 40
+BESIDE = 512  # texts scored side by side, few enough for the processor's cache
 END = b""  # the token at a text's end; no word is empty
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
+def share(x: np.ndarray, total: float, bounded: bool) -> np.ndarray:
+    """In place: each column's softmax times total. bounded: no exponential of x can overflow, or all of a column vanish."""
+    if not bounded:
+        x -= x.max(0)
+    np.exp(x, out=x)
+    x *= np.float32(total) / x.sum(0)
     return x
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def log_share(x: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """The logarithm of each column's softmax at one place. x is lost."""
+    if not bounded:
+        x -= x.max(0)
+    chosen = x[at, np.arange(len(at))]
+    return chosen - np.log(np.exp(x, out=x).sum(0))
 
 
-def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's softmax at one place."""
-    x -= x.max(-1, keepdims=True)
-    chosen = x[np.arange(len(x)), at]
-    return chosen - np.log(np.exp(x, out=x).sum(-1))
+def with_ones(states: list[np.ndarray]) -> np.ndarray:
+    """States side by side, and a last row of ones."""
+    out = np.ones((len(states[0]) + 1, sum(h.shape[1] for h in states)), np.float32)
+    np.concatenate(states, 1, out=out[:-1])
+    return out
 
 
 class Network:
     """Shapes: emb V x H; wx, wh H x 3H, b 3H (update, reset, candidate); wc H x C, bc C; ww C x H x M, bw C x M
-    where class c holds words c * M ... c * M + M - 1."""
+    where class c holds words c * M ... c * M + M - 1. While it runs, places are columns: what a layer computes for
+    them side by side is then a few long rows."""
 
     NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "ww", "bw")
 
@@ -94,122 +96,179 @@ class Network:
             setattr(self, n, flat[at : at + x.size].reshape(x.shape).astype(np.float32).copy())
             at += x.size
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One token: (new state, update, reset, candidate). x: inputs already times wx, plus b."""
+    def gates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of the state for update and reset, and for the candidate, and what each word adds to all three. What
+        goes to update and reset is halved, as a sigmoid is a hyperbolic tangent of half."""
         k = HIDDEN
-        zr = h @ self.wh[:, : 2 * k]
-        zr += x[:, : 2 * k]
-        sigmoid(zr)
-        z, r = zr[:, :k], zr[:, k:]
-        c = (r * h) @ self.wh[:, 2 * k :]
-        c += x[:, 2 * k :]
+        inputs = (self.emb @ self.wx + self.b).T
+        inputs[: 2 * k] *= 0.5
+        return np.ascontiguousarray(self.wh[:, : 2 * k].T * np.float32(0.5)), np.ascontiguousarray(self.wh[:, 2 * k :].T), np.ascontiguousarray(inputs, np.float32)
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The weights of classes and of words with the biases as a last input, transposed, and whether they bound the
+        outputs (states are within -1 and 1)."""
+        kinds = np.concatenate([self.wc, self.bc[None]]).T
+        words_ = np.concatenate([self.ww, self.bw[:, None]], 1).transpose(0, 2, 1)
+        return kinds, words_, max(float(np.abs(kinds).sum(-1).max()), float(np.abs(words_).sum(-1).max())) < 80
+
+    @staticmethod
+    def step(gates: tuple[np.ndarray, ...], word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One token: (new state, update and reset, candidate)."""
+        k, (wzr, wc, inputs) = HIDDEN, gates
+        x = np.take(inputs, word, axis=1, mode="clip")
+        zr = wzr @ h
+        zr += x[: 2 * k]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        new = zr[k:] * h
+        c = wc @ new
+        c += x[2 * k :]
         np.tanh(c, out=c)
-        new = c - h
-        new *= z
+        np.subtract(c, h, out=new)
+        new *= zr[:k]
         new += h
-        return new, z, r, c
+        return new, zr, c
 
-    def log_probability(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each word's probability after the states."""
+    def by_class(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the places by the class of their word; in it, the classes, the words within them, and where the classes' places end."""
         kind = (word // self.size).astype(np.int16)
-        out = log_share(h @ self.wc + self.bc, kind).astype(np.float64)
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                out[rows] += log_share(h[rows] @ self.ww[c] + self.bw[c], word[rows] - c * self.size)
+        kind = kind[order]
+        return order, kind, word[order] - kind.astype(np.int64) * self.size, np.searchsorted(kind, np.arange(CLASSES + 1))
+
+    def log_probability(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each word's probability after the states, which are rows."""
+        return self.log_probabilities(np.concatenate([h.T, np.ones((1, len(h)), np.float32)]), word, self.outputs())
+
+    def log_probabilities(self, hs: np.ndarray, word: np.ndarray, weights: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
+        """The same of states that are columns, with a last row of ones."""
+        kinds, words_, bounded = weights
+        order, kind, place, ends = self.by_class(word)
+        own = np.take(hs, order, axis=1, mode="clip")
+        q = np.empty((self.size, len(word)), np.float32)
+        for c in np.nonzero(np.diff(ends))[0].tolist():
+            np.matmul(words_[c], own[:, ends[c] : ends[c + 1]], out=q[:, ends[c] : ends[c + 1]])
+        out = np.empty(len(word))
+        out[order] = log_share(kinds @ own, kind, bounded).astype(np.float64) + log_share(q, place, bounded)
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithm of each text's probability; texts are word numbers that end with the end's. All
-        texts go on side by side, each with its state, until it ends."""
+        """Natural logarithm of each text's probability; texts are word numbers that end with the end's. Texts of about one
+        length go on side by side, each with its state, until it ends."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[k]) for k in order])
-        flat = np.concatenate([texts[k] for k in order]) if len(texts) else np.zeros(0, np.int16)
-        starts = np.cumsum(lengths) - lengths
-        total, h = np.zeros(len(texts)), np.zeros((len(texts), HIDDEN), np.float32)
-        inputs = (self.emb @ self.wx + self.b).astype(np.float32)
-        previous = np.full(len(texts), self.end)
-        for at in range(0, int(lengths.max(initial=0)), STEPS):
-            states, targets, rows = [], [], []
-            for s in range(at, at + STEPS):
-                n = int(np.searchsorted(-lengths, -s, side="left"))
-                if n == 0:
-                    break
-                h[:n] = self.step(inputs[previous[:n]], h[:n])[0]
-                states.append(h[:n].copy())
-                previous[:n] = flat[starts[:n] + s]
-                targets.append(previous[:n].copy())
-                rows.append(np.arange(n))
-            total += np.bincount(np.concatenate(rows), self.log_probability(np.concatenate(states), np.concatenate(targets)), minlength=len(total))
-        out = np.zeros(len(texts))
-        out[order] = total
+        out, gates, weights = np.zeros(len(texts)), self.gates(), self.outputs()
+        for at in range(0, len(texts), BESIDE):
+            part = order[at : at + BESIDE]
+            out[part] = self.score_beside([texts[k] for k in part], gates, weights)
         return out
 
+    def score_beside(self, texts: list[np.ndarray], gates: tuple[np.ndarray, ...], weights: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
+        """`score` of texts that never get longer."""
+        lengths = np.array([len(t) for t in texts])
+        flat, starts, total = np.concatenate(texts), np.cumsum(lengths) - lengths, np.zeros(len(texts))
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
+        h, previous = np.zeros((HIDDEN, len(texts)), np.float32), np.full(len(texts), self.end)
+        for at in range(0, len(alive), STEPS):
+            states, targets, rows = [], [], np.arange(alive[at])
+            for s, n in enumerate(alive[at : at + STEPS], at):
+                h = self.step(gates, previous[:n], h[:, :n])[0]
+                states.append(h)
+                previous = flat[starts[:n] + s]
+                targets.append(previous)
+            found = self.log_probabilities(with_ones(states), np.concatenate(targets), weights)
+            total[: len(rows)] += np.bincount(np.concatenate([rows[: len(t)] for t in targets]), found, minlength=len(rows))
+        return total
+
     def lanes(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs and targets, lanes x steps: the stream in `LANES` stretches of one length."""
         length = max(len(stream) - 1, 0) // LANES
         return stream[: length * LANES].reshape(LANES, length), stream[1 : length * LANES + 1].reshape(LANES, length)
 
+    def states(self, x: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Of inputs (lanes x steps): `step` of each; h: the state before, lanes as columns."""
+        gates, out = self.gates(), []
+        for now in x.T:
+            out.append(self.step(gates, now, h))
+            h = out[-1][0]
+        return out
+
     def loss(self, stream: np.ndarray) -> float:
         """Mean natural logarithm of a token's probability over the lanes, each from a state of zeros."""
         x, y = self.lanes(stream)
-        h, states = np.zeros((LANES, HIDDEN), np.float32), []
-        for s in range(x.shape[1]):
-            h = self.step(self.emb[x[:, s]] @ self.wx + self.b, h)[0]
-            states.append(h)
-        return float(self.log_probability(np.concatenate(states), y.T.ravel()).mean())
+        steps = self.states(x, np.zeros((HIDDEN, LANES), np.float32))
+        return float(self.log_probabilities(with_ones([t[0] for t in steps]), y.T.ravel(), self.outputs()).mean())
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean loss of a window of tokens (lanes x steps), and the state after it; h: the state before."""
-        hid, xs, trace = HIDDEN, x.T, []
-        inputs = self.emb @ self.wx + self.b
-        for now in xs:
-            new, z, r, c = self.step(inputs[now], h)
-            trace.append((h, z, r, c, new))
-            h = new
+        k, (lanes, steps) = HIDDEN, x.shape
+        trace = self.states(x, h.T)
+        states = [t[0] for t in trace]
+        # Back through the outputs, with the places in the order of their classes.
         grad = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        hs, word = np.concatenate([t[4] for t in trace]), y.T.ravel()
-        n, kind = len(word), (word // self.size).astype(np.int16)
-        p = softmax(hs @ self.wc + self.bc)
-        p[np.arange(n), kind] -= 1
-        p /= n
-        grad["wc"], grad["bc"] = hs.T @ p, p.sum(0)
-        dh_out = p @ self.wc.T
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                q = softmax(hs[rows] @ self.ww[c] + self.bw[c])
-                q[np.arange(len(rows)), word[rows] - c * self.size] -= 1
-                q /= n
-                grad["ww"][c], grad["bw"][c] = hs[rows].T @ q, q.sum(0)
-                dh_out[rows] += q @ self.ww[c].T
-        dh, all_gates, befores, resets = np.zeros_like(h), [], [], []
-        for s in range(len(xs) - 1, -1, -1):
-            before, z, r, c, _ = trace[s]
-            dh = dh + dh_out[s * LANES : (s + 1) * LANES]
-            dc = dh * z * (1 - c * c)
-            back = dc @ self.wh[:, 2 * hid :].T
-            dz, dr = dh * (c - before) * z * (1 - z), back * before * r * (1 - r)
-            gates = np.concatenate([dz, dr, dc], 1)
-            all_gates.append(gates)
-            befores.append(before)
-            resets.append(r * before)
-            dh = dh * (1 - z) + back * r + gates[:, : 2 * hid] @ self.wh[:, : 2 * hid].T
-        gates, seen = np.concatenate(all_gates), xs[::-1].ravel().astype(np.int16)
-        grad["b"] += gates.sum(0)
-        grad["wh"][:, : 2 * hid] = np.concatenate(befores).T @ gates[:, : 2 * hid]
-        grad["wh"][:, 2 * hid :] = np.concatenate(resets).T @ gates[:, 2 * hid :]
-        # By word: what goes back to an input is the same product for all places of the word.
+        kinds, words_, bounded = self.outputs()
+        n, (order, kind, place, ends) = x.size, self.by_class(y.T.ravel())
+        all_ = np.arange(n)
+        own = np.take(with_ones(states), order, axis=1, mode="clip")
+        p = share(kinds @ own, 1 / n, bounded)
+        p[kind, all_] -= np.float32(1 / n)
+        g = own @ p.T
+        grad["wc"], grad["bc"] = g[:k], g[k]
+        back, q = self.wc @ p, np.empty((self.size, n), np.float32)
+        there = [(i, slice(ends[i], ends[i + 1])) for i in np.nonzero(np.diff(ends))[0].tolist()]
+        for i, at in there:
+            np.matmul(words_[i], own[:, at], out=q[:, at])
+        share(q, 1 / n, bounded)
+        q[place, all_] -= np.float32(1 / n)
+        more = np.empty_like(back)
+        for i, at in there:
+            g = own[:, at] @ q[:, at].T
+            grad["ww"][i], grad["bw"][i] = g[:k], g[k]
+            np.matmul(self.ww[i], q[:, at], out=more[:, at])
+        back += more
+        inverse = np.empty(n, np.int64)
+        inverse[order] = all_
+        dh_out = np.take(back, inverse, axis=1, mode="clip").reshape(k, steps, lanes)
+        # Back through the steps. What a state's gradient is multiplied by is known for all of them beforehand.
+        before, zr, c = np.stack([h.T, *states[:-1]]), np.stack([t[1] for t in trace]), np.stack([t[2] for t in trace])
+        z, r = zr[:, :k], zr[:, k:]
+        keep = 1 - z
+        to_c = c * c
+        np.subtract(1, to_c, out=to_c)
+        to_c *= z
+        to_z = c
+        to_z -= before
+        to_z *= z
+        to_z *= keep
+        old = r * before
+        to_r = 1 - r
+        to_r *= old
+        wzr, wc = np.ascontiguousarray(self.wh[:, : 2 * k]), np.ascontiguousarray(self.wh[:, 2 * k :])
+        gates, dh = np.empty((steps, 3 * k, lanes), np.float32), np.zeros((k, lanes), np.float32)
+        for s in range(steps - 1, -1, -1):
+            dh += dh_out[:, s]
+            gate = gates[s]
+            np.multiply(dh, to_c[s], out=gate[2 * k :])
+            np.multiply(dh, to_z[s], out=gate[:k])
+            back = wc @ gate[2 * k :]
+            np.multiply(back, to_r[s], out=gate[k : 2 * k])
+            dh *= keep[s]
+            back *= r[s]
+            dh += back
+            dh += wzr @ gate[: 2 * k]
+        grad["wh"][:, : 2 * k] = (before @ gates[:, : 2 * k].transpose(0, 2, 1)).sum(0)
+        grad["wh"][:, 2 * k :] = (old @ gates[:, 2 * k :].transpose(0, 2, 1)).sum(0)
+        grad["b"] = gates.sum((0, 2))
+        fed = np.take(np.ascontiguousarray(self.emb.T), x.T.ravel(), axis=1, mode="clip").reshape(k, steps, lanes)
+        grad["wx"] = (fed.transpose(1, 0, 2) @ gates.transpose(0, 2, 1)).sum(0)
+        # By word: what goes back to it is added up over its places.
+        seen = x.T.ravel().astype(np.int16)
         order = np.argsort(seen, kind="stable")
-        first = np.nonzero(np.diff(seen[order], prepend=np.int16(-1)))[0]
-        back, used = np.add.reduceat(gates[order], first), seen[order[first]]
-        grad["emb"][used] = back @ self.wx.T
-        grad["wx"] += self.emb[used].T @ back
-        return grad, h
+        seen = seen[order]
+        first = np.nonzero(np.diff(seen, prepend=np.int16(-1)))[0]
+        back = np.take((self.wx @ gates).transpose(1, 0, 2).reshape(k, n), order, axis=1, mode="clip")
+        grad["emb"][seen[first]] = np.add.reduceat(back, first, axis=1).T
+        return grad, states[-1].T
 
     def train(self, stream: np.ndarray, rate: float = RATE) -> int:
         """Adagrad over a stream of word numbers in `LANES` lanes, the state carried along each lane."""
@@ -252,21 +311,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all tokens of the training documents, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        keep_freed()
+        ends, size, held = 0, 0, []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+            found = pa.chunked_array(held, pa.binary()).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
         for batch in batches:
             for _, texts in slices(batch):
-                for t in texts:
-                    counts.update(words(t))
-                counts[END] += len(texts)
-                if len(counts) > FLUSH:
+                held.append(pa.array(words(b" ".join(texts)), pa.binary()))
+                ends, size = ends + len(texts), size + held[-1].nbytes
+                if size > FLUSH:
                     yield flush()
+                    size = 0
         yield flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
     return docs.filter("NOT held_out").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -293,30 +355,42 @@ def numbered(docs: DataFrame, v: Vocabulary) -> DataFrame:
     whole = np.log10(v.tokens + v.distinct + 1)
     shift = whole - np.log10(v.outside) if v.outside > 0 else 0.0
     words_ = [END, *(w for w in v.heavy if w != END)]
-    place = {w: k for k, w in enumerate(words_)}
+    heavy = pa.array(words_, pa.binary())
     number = np.array([v.number.get(w, 0) for w in words_] + [0], np.int16)  # the last: any other word
     log = np.array([np.log10(v.heavy.get(w, 0) + 1) for w in words_] + [0.0])
-    types = {"doc_id": pa.int64(), "hash": pa.int64(), "held_out": pa.bool_(), "stream": pa.binary(), "known": pa.int64(), "base": pa.float64(), "extra": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             for rows, texts in slices(batch):
-                out: dict[str, list] = {k: [] for k in types}
+                flat, ends = [], []
                 for text in texts:
-                    ws = [*words(text), END]
-                    at = np.fromiter(map(place.get, ws, repeat(-1)), np.int32, len(ws))
-                    stream, logs = number[at], log[at]
-                    rare = Counter([ws[k] for k in np.nonzero(at < 0)[0].tolist()])
-                    outside = int((stream == 0).sum())
-                    out["hash"].append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
-                    out["stream"].append(stream.tobytes())
-                    out["known"].append(int((at >= 0).sum()) if v.tokens else 0)
-                    out["base"].append(float(logs.sum()) - len(ws) * whole)
-                    out["extra"].append(float(logs[stream == 0].sum()) - outside * (whole - shift))
-                    out["rare"].append(list(rare))
-                    out["times"].append(list(rare.values()))
-                out["doc_id"], out["held_out"] = rows.column(0), rows.column(2)
-                yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) if isinstance(out[c], list) else out[c] for c in types], list(types))
+                    flat += words(text)
+                    flat.append(END)
+                    ends.append(len(flat))
+                ws, ends = pa.array(flat, pa.binary()), np.array(ends)
+                sizes = np.diff(ends, prepend=0)
+                starts = ends - sizes
+                at = pa.compute.index_in(ws, value_set=heavy).fill_null(-1).to_numpy()
+                stream, logs = number[at], log[at]
+                none = np.nonzero(at < 0)[0]
+                other = ws.take(pa.array(none)).dictionary_encode()
+                different = max(len(other.dictionary), 1)
+                rare, times = np.unique(np.searchsorted(ends, none, side="right") * different + other.indices.to_numpy(), return_counts=True)
+                lists = pa.array(np.searchsorted(rare, np.arange(len(texts) + 1) * different), pa.int32())
+                added = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+                out = {
+                    "doc_id": rows.column(0),
+                    "hash": pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
+                    "held_out": rows.column(2),
+                    "stream": pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(stream)]),
+                    "known": pa.array(sizes - added((at < 0).astype(np.int64)) if v.tokens else np.zeros(len(texts), np.int64)),
+                    "base": pa.array(added(logs) - sizes * whole),
+                    "extra": pa.array(added(np.where(stream == 0, logs, 0.0)) - added((stream == 0).astype(np.int64)) * (whole - shift)),
+                    "rare": pa.ListArray.from_arrays(lists, other.dictionary.take(pa.array(rare % different))),
+                    "times": pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())),
+                }
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return docs.mapInArrow(run, "doc_id long, hash long, held_out boolean, stream binary, known long, base double, extra double, rare array<binary>, times array<long>")
 
@@ -331,6 +405,7 @@ def learn(texts: DataFrame, tokens: int, net: Network) -> None:
         first = net.flat()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             now, seen, held, size = None, 0, [], 0
 
             def flush() -> None:
@@ -410,6 +485,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     learn(texts, v.tokens, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             streams = [np.frombuffer(x.as_buffer(), np.int16) for x in batch.column(3)]
             ends = np.cumsum([len(x) for x in streams])
